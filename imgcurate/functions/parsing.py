@@ -14,17 +14,31 @@ def _between(text: Column, opening: str, closing: str) -> Column:
     return F.when(there, F.substring(text, start, end - start + 1))
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing more, else null.
+
+    ``try_parse_json`` stops after the first value whatever follows. So the text is
+    parsed as a member of an object whose next member repeats a hash of it: the
+    hash is only found again if the text was one whole value.
+    """
+    check = F.xxhash64(text)
+    framed = F.try_parse_json(F.concat(F.lit('[{"value":'), text, F.lit(',"check":'), check.cast("string"), F.lit("}]")))
+    members = F.try_variant_get(framed, "$[0]", "map<string,variant>")
+    whole = (F.try_variant_get(framed, "$[0].check", "bigint") == check) & (F.size(members) == 2)
+    return F.when(whole, F.try_variant_get(framed, "$[0].value", "variant"))
+
+
 def parse_model_json(text: Column) -> Column:
     """M7: the JSON object in a text as VARIANT; null if none can be read or it is empty."""
     found = _between(text, "{", "}")
     mended = F.replace(F.replace(found, F.lit(",}"), F.lit("}")), F.lit(",]"), F.lit("]"))
-    value = F.coalesce(F.try_parse_json(found), F.try_parse_json(mended))
+    value = F.coalesce(strict_json(found), strict_json(mended))
     return F.when(F.to_json(value) != "{}", value)
 
 
 def parse_model_json_array(text: Column) -> Column:
     """M8: the JSON array in a text as VARIANT, without mending."""
-    return F.try_parse_json(_between(text, "[", "]"))
+    return strict_json(_between(text, "[", "]"))
 
 
 def field_text(value: Column, field: str) -> Column:

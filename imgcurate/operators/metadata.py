@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imgcurate.functions.parsing import field_text
+from imgcurate.functions.parsing import field_text, strict_json
 
 
 def explode_metadata(batches: DataFrame, batch: Sequence[str] = ("batch",), source: str = "metadata_json") -> DataFrame:
@@ -16,7 +16,7 @@ def explode_metadata(batches: DataFrame, batch: Sequence[str] = ("batch",), sour
     A lone object counts as a list of one. Records without a usable ``_index`` are
     left out, and of several with the same index the last wins.
     """
-    parsed = F.try_parse_json(source)
+    parsed = strict_json(F.col(source))
     is_object = F.try_variant_get(parsed, "$", "map<string,variant>").isNotNull()
     records = F.coalesce(
         F.try_variant_get(parsed, "$", "array<variant>"), F.when(is_object, F.array(parsed))
@@ -34,7 +34,7 @@ def attach_metadata(
     Adds ``metadata`` (JSON text, ``{}`` without a record) and ``metadata_valid``,
     which is false for a batch whose JSON cannot be read.
     """
-    valid = batches.select(*batch, F.try_parse_json(source).isNotNull().alias("_valid"))
+    valid = batches.select(*batch, strict_json(F.col(source)).isNotNull().alias("_valid"))
     return (
         images.join(valid, list(batch), "left")
         .join(explode_metadata(batches, batch, source), [*batch, "index"], "left")

@@ -42,7 +42,8 @@ def build_requests(
 ) -> DataFrame:
     """M1: ``request`` JSON from the file bytes in ``encoded``."""
     text = F.lit(prompt) if isinstance(prompt, str) else prompt
-    data = F.base64(encoded)
+    # Spark breaks base64 into lines; JSON wants it in one piece.
+    data = F.translate(F.base64(encoded), "\r\n", "")
     if shape == "generate":
         body = F.struct(
             F.lit(model).alias("model"),
@@ -73,7 +74,7 @@ def build_requests(
 
 def assign_endpoint(df: DataFrame, urls: str, default: str, index: str = "image_id") -> DataFrame:
     """M2: give rows to the endpoints in turn, by a running number."""
-    listed = F.filter(F.transform(F.split(F.lit(urls), ","), F.trim), lambda u: u != "")
+    listed = F.filter(F.transform(F.split(F.lit(urls), ","), lambda u: F.trim(u)), lambda u: u != "")
     known = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit(default)))
     return df.withColumn("endpoint", F.get(known, F.pmod(F.col(index), F.size(known)).cast("int")))
 

@@ -23,20 +23,18 @@ def dedup_exact_stream(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
     return frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["words"])
 
 
-def assemble_fragments_stream(chunks: DataFrame, delay: str = "1 hour", block: int = 1024) -> DataFrame:
-    """M5: a response per request and window of the delay, once its window is over.
+def assemble_fragments_stream(chunks: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """M5: a response per request once no fragment has come for the delay.
 
     ``chunks(request_id, seq, fragment, done, ts)``. Fragments behind the first
     ``done`` are cut off.
     """
-    piece = F.struct("seq", "fragment", "done")
-    ordered = F.array_sort("pieces")
     end = F.array_min(F.transform(F.filter("pieces", lambda p: p["done"]), lambda p: p["seq"]))
-    used = F.filter(ordered, lambda p: F.col("_end").isNull() | (p["seq"] <= F.col("_end")))
+    used = F.filter(F.array_sort("pieces"), lambda p: F.col("_end").isNull() | (p["seq"] <= F.col("_end")))
     return (
         chunks.withWatermark("ts", delay)
-        .groupBy(F.window("ts", delay), "request_id")
-        .agg(F.collect_list(piece).alias("pieces"))
+        .groupBy(F.session_window("ts", delay), "request_id")
+        .agg(F.collect_list(F.struct("seq", "fragment", "done")).alias("pieces"))
         .withColumn("_end", end)
         .select("request_id", F.array_join(F.transform(used, lambda p: p["fragment"]), "").alias("response"))
     )
