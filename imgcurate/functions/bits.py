@@ -17,6 +17,13 @@ def hamming(a: Column, b: Column) -> Column:
     )
 
 
+def hamming_of(a: str, b: str, words: int) -> Column:
+    """D2 for hashes of a known number of words, without a lambda."""
+    return sum(
+        (F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])).cast("int") for w in range(words)), F.lit(0)
+    )
+
+
 def _signed(word: int) -> int:
     return word - (1 << 64) if word >> 63 else word
 

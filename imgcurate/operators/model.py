@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from imgcurate.functions.arith import floor_div
 from imgcurate.functions.parsing import (
     chat_content,
     field_flag,
@@ -257,7 +258,7 @@ def model_detect(df: DataFrame, response: str = "response") -> DataFrame:
 def model_query(df: DataFrame, response: str = "response", index: str = "image_id", batch_size: int = 64) -> DataFrame:
     """Trimmed answers joined in order, one text per batch of rows."""
     rows = df.select(
-        F.floor(F.col(index) / F.lit(batch_size)).alias("batch"),
+        floor_div(index, batch_size).alias("batch"),
         F.col(index).alias("_index"),
         F.trim(response, F.lit(" \t\r\n\f\v")).alias("_text"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imgcurate.functions.arith import floor_div
 from imgcurate.operators.dedup import dedup_first_wins
 from imgcurate.operators.ranking import with_position
 from imgcurate.operators.sampling import one_per_interval
@@ -20,7 +21,7 @@ def select_high(frames: DataFrame) -> DataFrame:
 
 def _number_in_video(clusters: DataFrame, start: str, block: int) -> DataFrame:
     """Add ``cluster_id``: 0-based rank of ``start`` in the video, block by block."""
-    blocked = clusters.withColumn("_block", F.floor(F.col(start) / F.lit(block)))
+    blocked = clusters.withColumn("_block", floor_div(start, block))
     before = Window.partitionBy("video").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy("video", "_block")
@@ -58,12 +59,16 @@ def cluster_ranges(frames: DataFrame, max_gap: int = 10, padding: int = 5, block
     the edge of a block can go on in the next one, and just these are merged over
     the whole video, at most two per block.
     """
-    numbers = frames.select("video", "frame_no").distinct()
-    blocked = numbers.select(
-        "video",
-        F.floor(F.col("frame_no") / F.lit(block)).alias("_block"),
-        F.col("frame_no").alias("lo"),
-        F.col("frame_no").alias("hi"),
+    # One shuffle, by video and block, serves the distinct and the windows.
+    blocked = (
+        frames.select(
+            "video",
+            floor_div("frame_no", block).alias("_block"),
+            F.col("frame_no").alias("lo"),
+        )
+        .repartition("video", "_block")
+        .distinct()
+        .withColumn("hi", F.col("lo"))
     )
     local = _islands(blocked, ["video", "_block"], max_gap)
     at_edge = (F.col("lo") - F.col("_block") * block <= max_gap) | (

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imgcurate.functions.arith import floor_div
 from imgcurate.session import cut_lineage
 
 
@@ -98,6 +99,18 @@ def with_position(
     return out.withColumns(added).select(*df.columns, position, total, *running)
 
 
+# Up to this many rows may be sorted and numbered by one task.
+SMALL = 10_000
+
+
+def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows. Few are picked by a heap per task, many by their position."""
+    if n <= SMALL:
+        return df.orderBy(*order).limit(n)
+    placed = with_position(df, order, position="_pos", total="_n")
+    return placed.filter(F.col("_pos") < n).drop("_pos", "_n")
+
+
 def join_in_order(
     df: DataFrame,
     group: Sequence[str],
@@ -112,7 +125,7 @@ def join_in_order(
     Blocks of the order are joined first, each by its own task, and the blocks
     are joined then: no task sorts the single pieces of a long group.
     """
-    pieces = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    pieces = df.withColumn("_block", floor_div(order, block))
 
     def joined(items: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(items), lambda s: s["t"]), separator)

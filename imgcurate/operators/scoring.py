@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imgcurate.operators.ranking import join_in_order, with_position
+from imgcurate.session import cut_lineage
 
 HIGH, MEDIUM, LOW, DROP = "high", "medium", "low", "drop"
 
@@ -51,7 +52,8 @@ def tiered_sample(
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Mark ``kept``: all high rows, and every k-th medium and low row from the first on."""
-    tiered = df.withColumn("tier", tier("score", high, medium, low))
+    # Read twice below, and scores may come from a model: score once.
+    tiered = cut_lineage(df.withColumn("tier", tier("score", high, medium, low)))
     sampled = tiered.filter(F.col("tier").isin(MEDIUM, LOW))
     placed = with_position(sampled, order_by, [*partition_by, "tier"], "_pos", "_n")
     every = F.when(F.col("tier") == MEDIUM, medium_every).otherwise(low_every)

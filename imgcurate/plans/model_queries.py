@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imgcurate.functions.arith import floor_div
 from imgcurate.functions.parsing import field_flag, field_number, field_text, parse_model_json, parse_model_json_array
 from imgcurate.operators import metadata as md
 from imgcurate.operators import model as mo
@@ -311,7 +312,7 @@ def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("image_id"),
-        F.floor(F.col("doc_id") / F.lit(50)).alias("batch"),
+        floor_div("doc_id", 50).alias("batch"),
         (F.col("doc_id") % 50).alias("index"),
     )
 
@@ -325,7 +326,7 @@ def _metadata_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(index.alias("_index"), F.col("lang").alias("pose"), (F.col("n_chars") % 10).alias("level"), (F.col("toxic") == 1).alias("toxic"))
     )
     lists = (
-        labelled.select(F.floor(F.col("doc_id") / F.lit(50)).alias("batch"), F.struct("doc_id", record.alias("r")).alias("p"))
+        labelled.select(floor_div("doc_id", 50).alias("batch"), F.struct("doc_id", record.alias("r")).alias("p"))
         .groupBy("batch")
         .agg(F.array_sort(F.collect_list("p")).alias("ps"))
     )

@@ -16,7 +16,7 @@ from imgcurate.plans.frame_queries import DENSE, RANGES, _dense
 from imgcurate.plans.registry import query
 
 
-def keep_first_sql(source: str, bits: str, threshold: int, group: str = "") -> str:
+def keep_first_sql(source: str, threshold: int, group: str = "") -> str:
     """Walk the rows of every group in order with the list of kept hashes."""
     part = f"PARTITION BY {group} " if group else ""
     g = group or "0"
@@ -88,12 +88,21 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d3_dedup_first_wins",
-    f"WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', '', 6)} SELECT image_id, dup AS is_duplicate FROM walk",
+    f"WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', 6)} SELECT image_id, dup AS is_duplicate FROM walk",
 )
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dd.dedup_first_wins(t.sign_words(spark, sf_dir), 6, bits=32).select("image_id", "is_duplicate")
 
 
+@query(
+    "d3_dedup_orders",
+    f"WITH RECURSIVE {t.ORDER_HASHES}, {keep_first_sql('order_hashes', 2)} SELECT image_id, dup AS is_duplicate FROM walk",
+)
+def d3_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many near copies: about ten orders of a customer within two bits of each other."""
+    return dd.dedup_first_wins(t.order_hashes(spark, sf_dir), 2, bits=60).select("image_id", "is_duplicate")
+
+
 @query(
     "d4_dedup_exact",
     f"""WITH {t.sign_words_sql(8)} SELECT image_id, row_number() OVER (PARTITION BY word ORDER BY image_id) > 1 AS is_duplicate FROM hashes""",
@@ -105,7 +114,7 @@ def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "d5_dedup_per_group",
     f"""WITH RECURSIVE {t.FRAMES}, hashed AS (SELECT image_id, video, word FROM frames WHERE word IS NOT NULL),
-    {keep_first_sql('hashed', '', 2, 'video')}
+    {keep_first_sql('hashed', 2, 'video')}
     SELECT image_id, dup AS is_duplicate FROM walk UNION ALL SELECT image_id, false FROM frames WHERE word IS NULL""",
 )
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +128,7 @@ def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT row_number() OVER (ORDER BY video, cluster_id, tick) AS image_id, video, cluster_id, tick,
              coalesce(word, CAST(event_word AS BIGINT)) AS word
       FROM (SELECT *, us % 65536 AS event_word FROM dense)
-    ), {keep_first_sql('hashed', '', 2)}
+    ), {keep_first_sql('hashed', 2)}
     SELECT video, cluster_id, tick FROM hashed JOIN walk USING (image_id) WHERE NOT dup""",
 )
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +141,7 @@ def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d7_dedup_split",
-    f"""WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', '', 7)}
+    f"""WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', 7)}
     SELECT count_if(NOT dup)::BIGINT AS kept_count, count_if(dup)::BIGINT AS removed_count FROM walk""",
 )
 def d7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_d3_dedup_first_wins",
-    f"WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', '', 6)} SELECT image_id FROM walk WHERE NOT dup",
+    f"WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', 6)} SELECT image_id FROM walk WHERE NOT dup",
 )
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     signs = F.transform(F.slice("embedding", 1, 32), lambda x: (x >= 0).cast("bigint"))

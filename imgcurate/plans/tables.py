@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imgcurate.functions.arith import floor_div
 from imgcurate.operators.sampling import frame_name
 
 # Microseconds of the clock in one second of film.
@@ -37,7 +38,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             "user_id",
             "us",
             (us / F.lit(float(SECOND))).alias("ts"),
-            F.floor(us / F.lit(SECOND)).alias("frame_no"),
+            floor_div(us, SECOND).alias("frame_no"),
             (F.col("value") / 1000.0).alias("scene_score"),
             (F.col("event_type") == "view").alias("is_keyframe"),
             (F.lit(128) + 8 * k).alias("width"),
@@ -70,7 +71,7 @@ ticks AS (
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One picture per user and day; its events are what was detected in it."""
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") * 100 + F.floor(clock() / F.lit(86_400_000_000))).alias("image_id"),
+        (F.col("user_id") * 100 + floor_div(clock(), 86_400_000_000)).alias("image_id"),
         F.col("event_id").alias("det_no"),
         F.col("event_type").alias("class"),
         (F.least(F.col("value"), F.lit(100.0)) / 100.0).alias("score"),
@@ -213,6 +214,22 @@ hashes AS (
 )"""
 
 
+def order_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 60-bit hash per order: that of its customer with one bit turned, so orders of a customer are near."""
+    digits = F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 15)
+    turned = F.expr("shiftleft(1L, cast(o_orderkey % 60 as int))")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("image_id"),
+        F.array(F.conv(digits, 16, 10).cast("bigint").bitwiseXOR(turned)).alias("words"),
+    )
+
+
+ORDER_HASHES = """
+order_hashes AS (
+  SELECT o_orderkey AS image_id, xor(('0x' || md5(CAST(o_custkey AS VARCHAR))[1:15])::BIGINT, 1::BIGINT << (o_orderkey % 60)) AS word FROM orders
+)"""
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's answer per document, in the forms such answers come in.
 

@@ -12,7 +12,8 @@ from imgcurate.operators.dedup import dedup_first_wins
 
 def incremental_scan(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
     """Files as they arrive; the checkpoint of the query remembers those seen."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(folder).select("path", "modificationTime", "length")
