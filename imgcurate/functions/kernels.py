@@ -111,7 +111,8 @@ def _separable(img: np.ndarray, kernel: np.ndarray) -> np.ndarray:
 
 def soften(img: np.ndarray, factor: float) -> np.ndarray:
     """Blend towards a 3x3 smoothed picture (centre weight 5 of 13)."""
-    p = np.pad(img.astype(np.float64), ((1, 1), (1, 1), (0, 0)), mode="edge")
+    img = img.astype(np.float64)
+    p = np.pad(img, ((1, 1), (1, 1), (0, 0)), mode="edge")
     h, w = img.shape[:2]
     around = sum(p[y : y + h, x : x + w] for y in range(3) for x in range(3))
     smooth = (around + 4 * img) / 13

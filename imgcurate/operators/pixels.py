@@ -7,7 +7,7 @@ pictures set ``spark.sql.execution.arrow.maxRecordsPerBatch`` to about 64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,15 @@ from imgcurate.operators.geometry import fit_within
 PIXELS = ("height", "width", "n_channels", "data")
 
 
+def _kernel(fn: Callable, returns: str) -> Callable[..., Column]:
+    """An Arrow function that the optimizer neither copies nor moves.
+
+    A filter on its result would else be pushed below it, and every picture be
+    worked on twice.
+    """
+    return F.pandas_udf(fn, returns).asNondeterministic()
+
+
 def _pictures(batch: pd.DataFrame) -> Iterator:
     for row in batch.itertuples(index=False):
         yield as_array(row.data, row.height, row.width, row.n_channels)
@@ -38,11 +47,10 @@ def _pictures(batch: pd.DataFrame) -> Iterator:
 def with_pixel_stats(pixels: DataFrame) -> DataFrame:
     """Q1-Q4: replace the bytes by ``gray_mean, gray_std, lap_var``."""
 
-    @F.pandas_udf("gray_mean double, gray_std double, lap_var double")
     def stats(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([pixel_stats(p) for p in _pictures(batch)], columns=["gray_mean", "gray_std", "lap_var"])
 
-    return pixels.withColumn("_s", stats(F.struct(*PIXELS))).select(
+    return pixels.withColumn("_s", _kernel(stats, "gray_mean double, gray_std double, lap_var double")(F.struct(*PIXELS))).select(
         *[c for c in pixels.columns if c != "data"], "_s.gray_mean", "_s.gray_std", "_s.lap_var"
     )
 
@@ -52,11 +60,10 @@ def with_phash(pixels: DataFrame, hash_size: int = 16) -> DataFrame:
     if hash_size not in (8, 16, 24, 32):
         raise ValueError("hash_size must be 8, 16, 24 or 32")
 
-    @F.pandas_udf("array<bigint>")
     def words(batch: pd.DataFrame) -> pd.Series:
         return pd.Series([phash(p, hash_size) for p in _pictures(batch)], dtype="object")
 
-    return pixels.withColumn("words", words(F.struct(*PIXELS))).drop("data")
+    return pixels.withColumn("words", _kernel(words, "array<bigint>")(F.struct(*PIXELS))).drop("data")
 
 
 def _edited(picture, row):
@@ -151,17 +158,15 @@ def thumbnail_pixels(pixels: DataFrame, size: int = 192) -> DataFrame:
 def with_png(pixels: DataFrame) -> DataFrame:
     """Replace the bytes by ``encoded``, a lossless file."""
 
-    @F.pandas_udf("binary")
     def png(batch: pd.DataFrame) -> pd.Series:
         return pd.Series([encode_png(p) for p in _pictures(batch)], dtype="object")
 
-    return pixels.withColumn("encoded", png(F.struct(*PIXELS))).drop("data")
+    return pixels.withColumn("encoded", _kernel(png, "binary")(F.struct(*PIXELS))).drop("data")
 
 
 def alpha_mask(pixels: DataFrame) -> DataFrame:
     """``mask`` bytes from the alpha channel, zeros without one, and plain colour bytes."""
 
-    @F.pandas_udf("mask binary, data binary, n_channels int")
     def split(batch: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for p in _pictures(batch):
@@ -172,23 +177,21 @@ def alpha_mask(pixels: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["mask", "data", "n_channels"])
 
     kept = [c for c in pixels.columns if c not in ("data", "n_channels")]
-    return pixels.withColumn("_m", split(F.struct(*PIXELS))).select(*kept, "_m.n_channels", "_m.data", "_m.mask")
+    return pixels.withColumn("_m", _kernel(split, "mask binary, data binary, n_channels int")(F.struct(*PIXELS))).select(*kept, "_m.n_channels", "_m.data", "_m.mask")
 
 
 def byte_sum(column: str) -> Column:
     """Sum of the bytes of a binary column."""
 
-    @F.pandas_udf("bigint")
     def total(data: pd.Series) -> pd.Series:
         return data.map(lambda b: int(np.frombuffer(b, dtype=np.uint8).sum())).astype("int64")
 
-    return total(F.col(column))
+    return _kernel(total, "bigint")(F.col(column))
 
 
 def with_byte_sums(pixels: DataFrame) -> DataFrame:
     """``bytes`` and ``placed``: plain and position-weighted sums of the bytes, to compare pictures."""
 
-    @F.pandas_udf("bytes bigint, placed bigint")
     def totals(data: pd.Series) -> pd.DataFrame:
         rows = []
         for b in data:
@@ -197,4 +200,4 @@ def with_byte_sums(pixels: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["bytes", "placed"])
 
     kept = [c for c in pixels.columns if c != "data"]
-    return pixels.withColumn("_t", totals("data")).select(*kept, "_t.bytes", "_t.placed")
+    return pixels.withColumn("_t", _kernel(totals, "bytes bigint, placed bigint")("data")).select(*kept, "_t.bytes", "_t.placed")

@@ -56,9 +56,12 @@ def s2_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(ct.with_names(t.catalog(spark, sf_dir)), ct.sort_keys("date", descending=True))
 
 
-@query("s2_sort_catalog_random")
+@query(
+    "s2_sort_catalog_random",
+    f"WITH {t.CATALOG} SELECT path, row_number() OVER (ORDER BY md5('7:' || path), path) - 1 AS place FROM catalog",
+)
 def s2_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ct.sort_catalog(t.catalog(spark, sf_dir), "random", seed=7).select("path", "length")
+    return _placed(ct.with_names(t.catalog(spark, sf_dir)), ct.sort_keys("random", seed=7))
 
 
 @query(
@@ -128,7 +131,14 @@ def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums(preview_pixels(t.strips(spark, sf_dir), 512))
 
 
-@query("s7_thumbnail")
+@query(
+    "s7_thumbnail",
+    f"""WITH {t.PICTURES}, channels AS (
+      SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([b, g, r]) AS v FROM blocks
+    ), {t.resampled_sql('channels', 4, 24)}
+    SELECT image_id, 24 AS width, 24 AS height, sum(v)::BIGINT AS bytes, sum(v * ((y * 24 + x) * 3 + c + 1))::BIGINT AS placed
+    FROM resampled GROUP BY image_id""",
+)
 def s7_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums(thumbnail_pixels(t.pictures(spark, sf_dir, repeat=4), 24))
 

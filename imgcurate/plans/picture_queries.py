@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgcurate.functions.bits import hamming
@@ -66,9 +66,30 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("d1_phash_resampled")
+@query(
+    "d1_phash_resampled",
+    f"""WITH {t.PICTURES}, hues AS (SELECT image_id, y, x, 0 AS c, h AS v FROM grays), {t.resampled_sql('hues', 5, 64)},
+    waves AS (SELECT u, p, cos(pi() * u * (2 * p + 1) / 128) AS w FROM range(16) a(u), range(64) b(p)),
+    upright AS (SELECT image_id, u, x, sum(v * w) AS s FROM resampled JOIN waves ON p = y GROUP BY image_id, u, x),
+    frequencies AS (SELECT image_id, r.u AS v, k.u AS u, sum(s * w) AS f FROM upright r JOIN waves k ON p = x GROUP BY image_id, r.u, k.u),
+    bits AS (SELECT image_id, v * 16 + u AS i, f > median(f) OVER (PARTITION BY image_id) AS bit FROM frequencies)
+    SELECT image_id, count_if(bit)::BIGINT AS ones, sum(CASE WHEN bit THEN i ELSE 0 END)::BIGINT AS places,
+      sum(CASE WHEN bit THEN i * i ELSE 0 END)::BIGINT AS squares FROM bits GROUP BY image_id""",
+)
 def d1_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_phash(t.pictures(spark, sf_dir, repeat=5), hash_size=16).select("image_id", "words")
+    """Hashes of 256 bits, told by how many bits are set and sums of their places."""
+    places = F.sequence(F.lit(0), F.lit(255))
+    bit = lambda i: F.getbit(F.get("words", F.shiftright(i, 6)), i % 64).cast("bigint")
+
+    def total(term) -> Column:
+        return F.aggregate(places, F.lit(0).cast("bigint"), lambda s, i: s + term(i))
+
+    return with_phash(t.pictures(spark, sf_dir, repeat=5), hash_size=16).select(
+        "image_id",
+        total(bit).alias("ones"),
+        total(lambda i: bit(i) * i).alias("places"),
+        total(lambda i: bit(i) * i * i).alias("squares"),
+    )
 
 
 @query(
@@ -364,6 +385,48 @@ def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_byte_sums(apply_pixels(plan)).select("image_id", "width", "height", "bytes", "placed")
 
 
+@query(
+    "p7_resize_and_pad",
+    f"""WITH {t.PICTURES}, channels AS (
+      SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([b, g, r]) AS v FROM blocks
+    ), {t.resampled_sql('channels', 2, 20)}
+    SELECT image_id, 30 AS width, 26 AS height, sum(v)::BIGINT AS bytes, sum(v * (((y + 3) * 30 + x + 5) * 3 + c + 1))::BIGINT AS placed
+    FROM resampled GROUP BY image_id""",
+)
+def p7_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = {"scaled_w": 20, "scaled_h": 20, "offset_x": 5, "offset_y": 3, "out_w": 30, "out_h": 26}
+    plan = t.pictures(spark, sf_dir, repeat=2).withColumns({name: F.lit(n) for name, n in sizes.items()})
+    return with_byte_sums(apply_pixels(plan)).select("image_id", "width", "height", "bytes", "placed")
+
+
+@query(
+    "p7_contrast",
+    f"""WITH {t.PICTURES}, means AS (SELECT image_id, floor(sum(h) / 64.0::DOUBLE + 0.5) AS m FROM grays GROUP BY image_id),
+    channels AS (SELECT image_id, i, unnest([0, 1, 2]) AS c, unnest([b, g, r]) AS v FROM blocks),
+    changed AS (SELECT image_id, i, c, floor(greatest(0, least(255, m + 1.25::DOUBLE * (v - m)))) AS v FROM channels JOIN means USING (image_id))
+    SELECT image_id, sum(v)::BIGINT AS bytes, sum(v * (i * 3 + c + 1))::BIGINT AS placed FROM changed GROUP BY image_id""",
+)
+def p7_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = t.pictures(spark, sf_dir).withColumn("contrast", F.lit(1.25))
+    return with_byte_sums(apply_pixels(plan)).select("image_id", "bytes", "placed")
+
+
+@query(
+    "p7_soften",
+    f"""WITH {t.PICTURES}, channels AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([b, g, r]) AS v FROM blocks),
+    lists AS (SELECT image_id, c, list(v ORDER BY y * 8 + x) AS l FROM channels GROUP BY image_id, c),
+    around AS (
+      SELECT image_id, c, y, x, any_value(v) AS v, sum(l[greatest(0, least(7, y + dy)) * 8 + greatest(0, least(7, x + dx)) + 1]) AS s
+      FROM channels JOIN lists USING (image_id, c), (SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b GROUP BY image_id, c, y, x
+    ), smooth AS (SELECT *, (s + 4 * v) / 13.0::DOUBLE AS m FROM around),
+    changed AS (SELECT *, floor(greatest(0, least(255, m + 0.5::DOUBLE * (v - m) + 0.5))) AS n FROM smooth)
+    SELECT image_id, sum(n)::BIGINT AS bytes, sum(n * ((y * 8 + x) * 3 + c + 1))::BIGINT AS placed FROM changed GROUP BY image_id""",
+)
+def p7_soften(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = t.pictures(spark, sf_dir).withColumn("soften", F.lit(0.5))
+    return with_byte_sums(apply_pixels(plan)).select("image_id", "bytes", "placed")
+
+
 @query("p7_apply_pixels_all_steps")
 def p7_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.struct(

@@ -176,6 +176,32 @@ levels AS (
   FROM blocks
 )"""
 
+
+
+def resampled_sql(source: str, repeat: int, size: int) -> str:
+    """CTEs from ``source(image_id, y, x, c, v)``, 8 by 8 blocks of ``repeat`` pixels, to ``resampled`` of a size.
+
+    Lanczos weights of the pixels of a block are added up, rows and columns one after the other.
+    """
+    side = 8 * repeat
+    widen = max(side / size, 1.0)
+    place = f"(p + 0.5::DOUBLE - (d + 0.5::DOUBLE) * {side / size!r}::DOUBLE) / {widen!r}::DOUBLE"
+    return f"""distances AS (
+  SELECT d, p // {repeat} AS block, {place} AS x FROM range({size}) a(d), range({side}) b(p)
+), plain_weights AS (
+  SELECT d, block, CASE WHEN x = 0 THEN 1.0::DOUBLE WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0.0::DOUBLE END AS w
+  FROM distances
+), lanczos AS (
+  SELECT d, block, sum(w) / any_value(total) AS w
+  FROM plain_weights JOIN (SELECT d, sum(w) AS total FROM plain_weights GROUP BY d) USING (d) GROUP BY d, block
+), tall AS (
+  SELECT image_id, c, l.d AS y, s.x, sum(s.v * l.w) AS v FROM {source} s JOIN lanczos l ON l.block = s.y GROUP BY image_id, c, l.d, s.x
+), resampled AS (
+  SELECT image_id, c, y, l.d AS x, CAST(greatest(0, least(255, floor(sum(v * l.w) + 0.5))) AS BIGINT) AS v
+  FROM tall JOIN lanczos l ON l.block = tall.x GROUP BY image_id, c, y, l.d
+)"""
+
+
 # Population variance from exact sums, as in the kernels.
 STATS = (
     PICTURES
