@@ -142,9 +142,10 @@ def dedup_new_only(dense: DataFrame, threshold: int = 6, bits: int = 256) -> Dat
     if threshold <= 0:
         return dense
     keys = ["video", "cluster_id", "tick"]
-    placed = with_position(dense.select(*keys, "words"), keys, position="image_id", total="_n")
-    kept = dedup_first_wins(placed.drop("_n"), threshold, bits).filter("not is_duplicate")
-    return dense.join(kept.select(*keys), keys, "left_semi")
+    named = dense.withColumnRenamed("image_id", "_source")
+    placed = with_position(named, keys, position="image_id", total="_n")
+    kept = dedup_first_wins(placed, threshold, bits).filter("not is_duplicate").drop("image_id")
+    return kept.withColumnRenamed("_source", "image_id").select(*dense.columns)
 
 
 def combine(originals: DataFrame, dense: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from imgcurate.functions.bits import with_band_keys
 from imgcurate.operators.dedup import dedup_first_wins
 
 
@@ -54,11 +55,14 @@ def cluster_ranges_stream(frames: DataFrame, gap: str = "10 seconds", delay: str
 def dedup_against_kept(batch: DataFrame, kept: DataFrame, threshold: int, bits: int) -> DataFrame:
     """Rows of a batch that repeat neither a kept row nor an earlier kept one of the batch.
 
-    All kept rows come before the batch, so they can be put in front of it: kept
-    rows are no near copies of each other and stay.
+    All kept rows come before the batch and are no near copies of each other. So the
+    kept rows that share a band key with the batch are put in front of it; the
+    others cannot matter.
     """
-    old = kept.select((F.col("image_id")).alias("image_id"), "words", F.lit(True).alias("_old"))
     new = batch.select("image_id", "words", F.lit(False).alias("_old"))
+    keys = with_band_keys(new.filter("words is not null").select("words"), bits, threshold, 1).select("key").distinct()
+    touched = with_band_keys(kept.filter("words is not null"), bits, threshold, 1).join(keys, "key", "left_semi")
+    old = touched.dropDuplicates(["image_id"]).select("image_id", "words", F.lit(True).alias("_old"))
     marked = dedup_first_wins(old.unionByName(new), threshold, bits)
     return marked.filter("not is_duplicate and not _old").select("image_id", "words")
 
