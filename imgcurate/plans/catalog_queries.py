@@ -164,6 +164,14 @@ def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.list_videos(t.catalog(spark, sf_dir)).select("name")
 
 
+@query(
+    "s9_choose_videos",
+    f"WITH {t.CATALOG} SELECT path FROM catalog WHERE ext = '.mp4'",
+)
+def s9_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ct.choose_videos(t.catalog(spark, sf_dir), ct.ALL_VIDEOS).select("path")
+
+
 @query(
     "s10_changed_files",
     f"""WITH {t.CATALOG} SELECT path, length FROM catalog WHERE host LIKE '%.org' OR length > 4000""",
@@ -199,3 +207,24 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "batch", F.col("position").cast("bigint").alias("position"),
         ct.name_or_default(F.col("filename"), F.col("position")).alias("filename"),
     )
+
+
+@query(
+    "s11_names_or_frames",
+    """WITH n AS (SELECT conv_id AS batch, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role || turn AS name,
+        count(*) OVER (PARTITION BY conv_id) AS names FROM conversations)
+    SELECT batch, position, CASE WHEN names = 4 THEN name ELSE printf('frame_%06d.jpg', position) END AS filename FROM n""",
+)
+def s11_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name lists of conversations against four rows each: other lengths give numbered names."""
+    turns = t.table(spark, sf_dir, "conversations")
+    lists = turns.groupBy(F.col("conv_id").alias("batch")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.col("turn").cast("string")).alias("name")))).alias("s")
+    )
+    text = F.to_json(F.transform("s", lambda x: x["name"]))
+    named = ct.parse_name_list(lists.select("batch", F.size("s").alias("names"), text.alias("filenames")))
+    return named.select(
+        "batch",
+        F.col("position").cast("bigint").alias("position"),
+        ct.names_or_frames(F.col("filename"), F.col("position"), F.col("names"), F.lit(4)).alias("filename"),
+    )

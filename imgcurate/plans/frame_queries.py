@@ -82,6 +82,15 @@ def f5_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.even_subsample(narrow, 7, sm.ORDER, ["video"]).select("image_id", "video")
 
 
+@query(
+    "f6_video_quota",
+    f"""WITH {t.FRAMES} SELECT count(DISTINCT video) AS videos,
+      CAST(CASE WHEN count(DISTINCT video) <= 1 THEN 50000 ELSE greatest(50, 50000 // count(DISTINCT video)) END AS INTEGER) AS quota FROM frames""",
+)
+def f6_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.video_quota(t.frames(spark, sf_dir), 50_000)
+
+
 @query(
     "f6_per_video_quota",
     f"""WITH {t.FRAMES}, quota AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgcurate.plans import tables as t
@@ -17,6 +17,12 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def _instant() -> Column:
+    """The clock of an event as an instant, whatever the time zone of the session."""
+    start_of_2024 = 1_704_067_200_000_000
+    return F.timestamp_micros(t.clock() + F.lit(start_of_2024)).alias("ts")
+
+
 def _run(stream: DataFrame) -> DataFrame:
     """Work off what is there, and read the result back."""
     spark = stream.sparkSession
@@ -32,7 +38,7 @@ def _run(stream: DataFrame) -> DataFrame:
 )
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _stream(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        _instant(),
         F.array("user_id", F.round(F.col("value") * 100).cast("bigint")).alias("words"),
     )
     kept = _run(st.dedup_exact_stream(frames, "60 days"))
@@ -50,7 +56,7 @@ def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that are over a day before the newest event."""
     frames = _stream(spark, sf_dir, "events").select(
-        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video"), F.col("ts").cast("timestamp").alias("ts")
+        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video"), _instant()
     )
     done = _run(st.cluster_ranges_stream(frames, "5 hours", "1 day"))
     return done.select("video", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "frames")
