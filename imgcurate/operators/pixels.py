@@ -164,6 +164,11 @@ def with_png(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("encoded", _kernel(png, "binary")(F.struct(*PIXELS))).drop("data")
 
 
+def encode_for_model(pixels: DataFrame, max_size: int = 1024) -> DataFrame:
+    """M1: ``encoded`` files of pictures scaled down to ``max_size``, for ``build_requests``."""
+    return with_png(thumbnail_pixels(pixels, max_size))
+
+
 def alpha_mask(pixels: DataFrame) -> DataFrame:
     """``mask`` bytes from the alpha channel, zeros without one, and plain colour bytes."""
 

@@ -10,6 +10,7 @@ from imgcurate.functions.arith import floor_div
 from imgcurate.functions.parsing import field_flag, field_number, field_text, parse_model_json, parse_model_json_array
 from imgcurate.operators import metadata as md
 from imgcurate.operators import model as mo
+from imgcurate.operators.pixels import encode_for_model
 from imgcurate.plans import tables as t
 from imgcurate.plans.registry import query
 
@@ -33,6 +34,26 @@ def m1_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mo.request_size(t.boxes(spark, sf_dir)).select("l_orderkey", "l_linenumber", "sent_w", "sent_h")
 
 
+@query(
+    "m1_encode_pictures",
+    """SELECT vec_id AS image_id, '89504E470D0A1A0A' AS signature, 24 AS sent_w, 24 AS sent_h, true AS intact FROM embeddings""",
+)
+def m1_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures scaled down, as PNG files in requests; sizes are read from the files."""
+    encoded = encode_for_model(t.pictures(spark, sf_dir, repeat=4), 24)
+
+    def number(first: int):
+        return F.conv(F.hex(F.substring("encoded", first, 4)), 16, 10).cast("int")
+
+    return mo.build_requests(encoded, "What is it?", "any").select(
+        "image_id",
+        F.hex(F.substring("encoded", 1, 8)).alias("signature"),
+        number(17).alias("sent_w"),
+        number(21).alias("sent_h"),
+        (F.unbase64(F.get_json_object("request", "$.images[0]")) == F.col("encoded")).alias("intact"),
+    )
+
+
 @query(
     "m1_build_requests_generate",
     """SELECT doc_id AS image_id, '{"model":"any","prompt":"Describe the \\"picture\\".","images":["' || to_base64(encode(text))

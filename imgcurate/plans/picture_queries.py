@@ -427,6 +427,22 @@ def p7_soften(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_byte_sums(apply_pixels(plan)).select("image_id", "bytes", "placed")
 
 
+@query(
+    "p7_unsharp",
+    f"""WITH {t.PICTURES}, channels AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([b, g, r]) AS v FROM blocks),
+    taps AS (SELECT n, exp(-(n * n) / 8.0::DOUBLE) / sum(exp(-(n * n) / 8.0::DOUBLE)) OVER () AS w FROM (SELECT unnest(range(-6, 7)) AS n)),
+    reach AS (SELECT o, greatest(0, least(7, o + n)) AS i, sum(w) AS w FROM range(8) a(o), taps GROUP BY ALL),
+    upright AS (SELECT image_id, c, o AS y, x, sum(v * w) AS v FROM channels JOIN reach ON i = y GROUP BY image_id, c, o, x),
+    blurred AS (SELECT image_id, c, y, o AS x, sum(v * w) AS m FROM upright JOIN reach ON i = x GROUP BY image_id, c, y, o),
+    detail AS (SELECT image_id, c, y, x, v, CASE WHEN abs(v - m) <= 3 THEN 0.0::DOUBLE ELSE v - m END AS d FROM channels JOIN blurred USING (image_id, c, y, x)),
+    changed AS (SELECT *, floor(greatest(0, least(255, v + d * 150 / 100 + 0.5))) AS n FROM detail)
+    SELECT image_id, sum(n)::BIGINT AS bytes, sum(n * ((y * 8 + x) * 3 + c + 1))::BIGINT AS placed FROM changed GROUP BY image_id""",
+)
+def p7_unsharp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = t.pictures(spark, sf_dir).withColumn("unsharp_percent", F.lit(150))
+    return with_byte_sums(apply_pixels(plan)).select("image_id", "bytes", "placed")
+
+
 @query("p7_apply_pixels_all_steps")
 def p7_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.struct(
