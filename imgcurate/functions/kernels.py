@@ -18,8 +18,8 @@ def as_array(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 def _luma(img: np.ndarray, red: int, green: int, blue: int, shift: int) -> np.ndarray:
     if img.shape[2] == 1:
-        return img[:, :, 0].astype(np.int64)
-    b, g, r = (img[:, :, c].astype(np.int64) for c in range(3))
+        return img[:, :, 0].astype(np.int32)
+    b, g, r = (img[:, :, c].astype(np.int32) for c in range(3))
     return (red * r + green * g + blue * b + (1 << (shift - 1))) >> shift
 
 
@@ -34,9 +34,12 @@ def gray_for_hash(img: np.ndarray) -> np.ndarray:
 
 
 def population_variance(values: np.ndarray) -> float:
-    """Variance of whole numbers from exact sums, whatever their order."""
-    n = int(values.size)
-    total, squares = int(values.sum()), int((values * values).sum())
+    """Variance of whole numbers from exact sums, whatever their order.
+
+    The sums are whole and stay below 2**53, so doubles hold them exactly.
+    """
+    v = values.ravel().astype(np.float64)
+    n, total, squares = v.size, int(v.sum()), int(v @ v)
     return (n * squares - total * total) / (n * n)
 
 
@@ -74,8 +77,10 @@ def resample(img: np.ndarray, width: int, height: int) -> np.ndarray:
     h, w = img.shape[:2]
     if (w, h) == (width, height):
         return img
-    rows = np.tensordot(_lanczos_weights(h, height), img.astype(np.float64), axes=(1, 0))
-    return to_bytes(np.tensordot(_lanczos_weights(w, width), rows, axes=(1, 1)).transpose(1, 0, 2))
+    down = _lanczos_weights(h, height)
+    across = down if (w, width) == (h, height) else _lanczos_weights(w, width)
+    planes = [down @ img[:, :, c].astype(np.float64) @ across.T for c in range(img.shape[2])]
+    return to_bytes(np.stack(planes, axis=2))
 
 
 def phash(img: np.ndarray, hash_size: int = 16) -> list[int]:

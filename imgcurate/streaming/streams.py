@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from imgcurate.functions.bits import with_band_keys
 from imgcurate.operators.dedup import dedup_first_wins
 
+KEPT = "image_id long, words array<long>"
+
 
 def incremental_scan(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
     """Files as they arrive; the checkpoint of the query remembers those seen."""
@@ -77,19 +80,12 @@ def dedup_stream(
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = batch.select("image_id", "words")
-        schema = rows.schema
-        kept = spark.read.schema(schema.add("batch", "long")).parquet(table) if _exists(spark, table) else None
-        if kept is None:
-            fresh = dedup_first_wins(rows, threshold, bits).filter("not is_duplicate").select("image_id", "words")
-        else:
-            fresh = dedup_against_kept(rows, kept.filter(F.col("batch") < number), threshold, bits)
+        try:
+            kept = batch.sparkSession.read.schema(f"{KEPT}, batch long").parquet(table)
+        except AnalysisException:  # nothing written yet
+            kept = batch.sparkSession.createDataFrame([], f"{KEPT}, batch long")
+        fresh = dedup_against_kept(rows, kept.filter(F.col("batch") < number), threshold, bits)
         fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return frames.writeStream.foreachBatch(merge)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
