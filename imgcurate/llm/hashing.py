@@ -103,3 +103,11 @@ def shingles(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
         order = np.argsort(np.concatenate([at, short]), kind="stable")
         return np.concatenate([value, more])[order], np.concatenate([rows[at], rows[short]])[order]
     return value, rows[at]
+
+
+def prefix_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each span of ``values`` a sum that depends on their order, not on where the span lies."""
+    n = len(values) + 1
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(values * _powers(_BASE, n)[:-1], out=sums[1:])
+    return (sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts]
