@@ -22,7 +22,7 @@ from .registry import query, table
 
 MARK = "▁"
 #: Distinct chunks a task keeps; a full table is emptied, which costs time and changes nothing.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 250_000
 
 
 @lru_cache(maxsize=4)
