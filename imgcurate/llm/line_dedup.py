@@ -23,10 +23,10 @@ from imgcurate.session import written
 
 from .arrow import slices, text_bytes
 from .hashing import hashes, mix, prefix_sums, spans
+from .keys import KEY, document_key
 from .registry import query, table
 
 MIN_WORDS = 50
-KEY = ["id", "tie"]
 
 
 def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,14 +80,6 @@ def windows(value: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.nd
     return starts, stops, smallest, content
 
 
-def _key() -> list:
-    """Columns that name a document: its id, with null before all others, and a hash that tells texts of one id apart."""
-    return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"),
-        F.xxhash64("text", F.col("doc_id").isNull()).alias("tie"),
-    ]
-
-
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """A row for each text: its lines' hashes, and its windows with fingerprints."""
     schema = T.StructType(
@@ -129,7 +121,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                     names=schema.fieldNames(),
                 )
 
-    return docs.select(*_key(), "text").mapInArrow(run, schema)
+    return docs.select(*document_key(), "text").mapInArrow(run, schema)
 
 
 def matched_runs(later: bytes, earlier: bytes, shift: int, seeds: list[int]) -> list[tuple[int, int]]:
@@ -217,7 +209,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.struct(*own).alias("row"), "doc_id", "text")
     gone = deleted_lines(rows, min_words)
     cut = (
-        rows.select("row", *_key())
+        rows.select("row", *document_key())
         .join(gone, KEY, "left")
         .select("row", "deleted", F.split("row.text", "\n", -1).alias("lines"))
         .withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "deleted"))
