@@ -236,11 +236,11 @@ def are_similar(rows: pa.Table, size: int, percent: int) -> np.ndarray:
 
 
 def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, id, tie, n_shingles, set_id, component_id)`` for each row of ``docs``.
+    """``(doc_id, id, tie, n_shingles, group_id, component_id)`` for each row of ``docs``.
 
     Two documents link when ``100 * overlap >= percent * union`` of their sets; a component is
-    named by its smallest id. A text of fewer than ``size`` words is one shingle; one without
-    words has an empty set (null ``set_id``), links with nothing and has its own id. Rows with a
+    named by its smallest id, and ``group_id`` tells components apart even if ids repeat. A text of fewer than ``size`` words is one shingle; one without
+    words has an empty set (null ``group_id``), links with nothing and has its own id. Rows with a
     null id link too, but name a component only where it has no other id. Repeated rows come
     out as often as they are there. An empty table gives an empty one. Other columns are not
     needed, whatever their names.
@@ -268,11 +268,23 @@ def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     links = linked(whole, lambda t: are_similar(t, size, percent), "set_id")
     found = components(links)
     names = found.join(first.select(F.col("set_id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(found.join(written(names, "names"), "component").select(F.col("node").alias("set_id"), "component_id"), "named")
+    named = written(found.join(written(names, "names"), "component").select(F.col("node").alias("set_id"), "component", "component_id"), "named")
     least = first.select("set_id", "least").join(named, "set_id", "left")
-    least = written(least.select("set_id", F.coalesce("component_id", "least").alias("component_id")), "components")
+    least = written(least.select("set_id", F.coalesce("component", "set_id").alias("group_id"), F.coalesce("component_id", "least").alias("component_id")), "components")
     out = own.select("doc_id", *KEY, F.col("n").alias("n_shingles"), "set_id").join(least, "set_id", "left")
-    return out.select("doc_id", *KEY, "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", *KEY, "n_shingles", "group_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, of which only the smallest id stays of each group of similar texts.
+
+    Of equal rows one stays. Texts without words link with nothing and all stay.
+    """
+    groups = similar_groups(docs.select("doc_id", "text"), size, percent).where("group_id is not null")
+    kept = written(groups.groupBy("group_id").agg(F.min(F.struct(*KEY)).alias("kept")).select("kept.*"), "kept")
+    rows = docs.select(F.struct("*").alias("row"), *document_key(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("words"))
+    one = rows.where("words").join(kept, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row"))
+    return one.select("row.*").unionByName(rows.where("not words").select("row.*"))
 
 
 @query("op9_ngram_jaccard_join")

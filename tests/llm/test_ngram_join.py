@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from imgcurate.llm import ngram_join
-from imgcurate.llm.ngram_join import similar_groups
+from imgcurate.llm.ngram_join import one_of_each_group, similar_groups
 
 WHITE = "\t\n\x0b\x0c\r "
 
@@ -85,3 +85,11 @@ def test_edges(spark):
     assert got(spark, none) == [("None", 1, None)] * 2
     assert got(spark, [(1, None)]) == [("1", 0, 1)]
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(3, "a b c d e f", 1), (2, "A b c d e f", 2), (2, "A b c d e f", 2), (2, "other words", 3), (5, "", 4), (6, None, 5), (6, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    kept = one_of_each_group(df)
+    assert kept.columns == df.columns
+    assert sorted(r.row for r in kept.collect()) == [2, 3, 4, 5, 5]
