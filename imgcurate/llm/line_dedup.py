@@ -210,7 +210,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = deleted_lines(rows, min_words)
     cut = (
         rows.select("row", *document_key())
-        .join(gone, KEY, "left")
+        .join(gone.hint("shuffle_hash"), KEY, "left")  # rows of one document only; the same plan at every size
         .select("row", "deleted", F.split("row.text", "\n", -1).alias("lines"))
         .withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "deleted"))
     )
