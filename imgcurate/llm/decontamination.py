@@ -32,6 +32,9 @@ SHORTEST = 8
 #: An overlap needs so many equal tokens (or four fifths of a short item) and four of five tokens equal.
 MATCHED = 13
 SHARE = 0.8
+#: Bits of the filter for each seed, 8 of which are set, and how many bits it has at most (8 MB).
+FILTER_BITS = 64
+FILTER_PROBES = 8
 FILTER_LOG2_MOST = 26
 
 TOKEN_BYTE = np.zeros(256, bool)
@@ -99,14 +102,18 @@ def token_counts(items: DataFrame) -> DataFrame:
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """Bits set for the seeds: about 16 a seed, ``2**FILTER_LOG2_MOST`` at most. Tasks send parts of 4 KB with set bits only."""
+    """A Bloom filter of the seeds, ``2**FILTER_LOG2_MOST`` bits at most. Tasks send parts of 4 KB with set bits only.
+
+    With more seeds than fit it lets more through, which the join then sorts out.
+    """
     n = max(1, seeds.count())
-    log2 = min(FILTER_LOG2_MOST, max(16, (16 * n - 1).bit_length()))
+    log2 = min(FILTER_LOG2_MOST, max(16, (FILTER_BITS * n - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = _bit_of(batch.column("seed").to_numpy().view(np.uint64), log2)
+            own = batch.column("seed").to_numpy().view(np.uint64)
+            at = np.concatenate([_bit_of(own, log2, probe) for probe in range(FILTER_PROBES)])
             for part in np.unique(at >> 15):
                 bits = np.zeros(1 << 15, np.uint8)
                 bits[at[at >> 15 == part] & 0x7FFF] = 1
@@ -135,14 +142,23 @@ def _parts(held: dict[int, np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _bit_of(seeds: np.ndarray, log2: int) -> np.ndarray:
-    return (seeds >> np.uint64(64 - log2)).astype(np.int64)
+def _bit_of(seeds: np.ndarray, log2: int, probe: int) -> np.ndarray:
+    return (mix(seeds + np.uint64(probe)) >> np.uint64(64 - log2)).astype(np.int64)
+
+
+def passing(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the seeds that may be in the filter."""
+    log2 = (8 * len(bits) - 1).bit_length()
+    at = np.arange(len(seeds))
+    for probe in range(FILTER_PROBES):
+        bit = _bit_of(seeds[at], log2, probe)
+        at = at[((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)]
+    return at
 
 
 def document_hits(docs: DataFrame, masks: list[str], bits: np.ndarray) -> DataFrame:
     """``(id, tie, doc_id, tokens, hits)`` for texts with seeds that pass the filter: their tokens, and the seeds with their places."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    log2 = (8 * len(bits) - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -152,8 +168,7 @@ def document_hits(docs: DataFrame, masks: list[str], bits: np.ndarray) -> DataFr
                 places, seeds = [], []
                 for number, mask in enumerate(masks):
                     seed = seeds_at(tokens, mask, number)
-                    bit = _bit_of(seed, log2)
-                    at = np.flatnonzero((bits[bit >> 3] >> (bit & 7)) & 1)
+                    at = passing(seed, bits)
                     row = np.searchsorted(offsets, at, side="right") - 1
                     at = at[at + len(mask) <= offsets[row + 1]]
                     places.append(at)
