@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("warc_zip", "secret_scan", "html_extraction", "learned_partitions", "decontamination", "ngram_join", "line_dedup", "quality_classifier", "sentencepiece_codec")
+MODULES = ("toxicity", "warc_zip", "secret_scan", "html_extraction", "learned_partitions", "decontamination", "ngram_join", "line_dedup", "quality_classifier", "sentencepiece_codec")
 
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
