@@ -140,7 +140,7 @@ class Scorer:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = list(chain.from_iterable(words))
         need = set(flat)
-        missing = need - self.place.keys()
+        missing = {w for w in need if w not in self.place}
         if len(self.place) + len(missing) > self.most:
             self.place, self.sums, self.counts, missing = {}, np.zeros(0), np.zeros(0), need
         if missing:

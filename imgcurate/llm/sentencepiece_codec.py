@@ -68,7 +68,7 @@ class ChunkTable:
             return [begin + np.array(ids, "<u4").tobytes() + end for ids in made]
         cut = [self.chunk.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         need = set().union(*cut)
-        missing = need - self.held.keys()
+        missing = {c for c in need if c not in self.held}
         if missing:
             if len(self.held) + len(missing) > self.most:
                 missing = need

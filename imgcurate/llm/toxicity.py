@@ -31,10 +31,12 @@ from .registry import held_out, query, table
 from .sample import labelled_sample
 
 #: At most so many labelled rows of each label are learned from.
-PER_CLASS = 3_000
+PER_CLASS = 2_000
 NEAREST = 10
 BLOCK = 64
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
+#: A term that is in a text so often is a term of its own besides: once may be chance.
+LEVELS = (2, 3, 5)
 #: A term must be in so many toxic examples, and its log odds so many standard errors above none.
 LEAST = 5
 SIGNIFICANT = 4.0
@@ -48,22 +50,33 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
+def leveled(term: str, level: int) -> str:
+    return f"{term}@{level}" if level > 1 else term
+
+
 class TermTable:
     """Term numbers of texts; what a distinct word holds is looked up once while it is in the table."""
 
     def __init__(self, vocabulary: dict[str, int], most: int = TABLE_WORDS):
         self.vocabulary, self.most, self.held = vocabulary, most, {}
+        self.bases = {t.partition("@")[0] for t in vocabulary}
 
-    def counts(self, text: str) -> Counter:
+    def counts(self, text: str) -> dict[int, int]:
         words = WORD.findall(text.lower())
-        missing = set(words) - self.held.keys()
+        missing = [w for w in set(words) if w not in self.held]
         if len(self.held) + len(missing) > self.most:
-            self.held, missing = {}, set(words)
+            self.held, missing = {}, list(set(words))
         for w in missing:
-            self.held[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-        out: Counter = Counter()
-        for ids in filter(None, map(self.held.__getitem__, words)):
-            out.update(ids)
+            self.held[w] = tuple(t for t in terms_of(w) if t in self.bases)
+        seen: Counter = Counter()
+        for terms in filter(None, map(self.held.__getitem__, words)):
+            seen.update(terms)
+        out = {}
+        for t, n in seen.items():
+            for level in (1, *LEVELS):
+                number = self.vocabulary.get(leveled(t, level)) if n >= level else None
+                if number is not None:
+                    out[number] = n if level == 1 else 1
         return out
 
 
@@ -212,7 +225,12 @@ def vocabulary_of(sample: DataFrame) -> dict[str, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                terms = [sorted({t for w in set(WORD.findall(x.lower())) for t in terms_of(w)}) for x in part.column("text").to_pylist()]
+                terms = []
+                for x in part.column("text").to_pylist():
+                    seen: Counter = Counter()
+                    for w, n in Counter(WORD.findall(x.lower())).items():
+                        seen.update(dict.fromkeys(terms_of(w), n))
+                    terms.append([leveled(t, level) for t, n in seen.items() for level in (1, *LEVELS) if n >= level])
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(terms, pa.list_(pa.string()))], names=["label", "terms"])
 
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
