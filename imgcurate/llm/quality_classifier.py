@@ -1,14 +1,15 @@
 """Text quality by supervised subword embeddings.
 
 A document is the average of learned vectors of its features: words and their character
-n-grams, hashed into buckets, a marker for each word that repeats the one before it, and one
-for the end of the text. A softmax layer follows. Vectors and layer are trained together by
+n-grams, hashed into buckets, and a marker for the end of the text. A word that repeats the
+one before it has a marker in place of each of its features. A softmax layer follows. Vectors and layer are trained together by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows. The average is
 linear, so for scoring each bucket shrinks to one number and each distinct word to a sum.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -26,6 +27,8 @@ from .sample import labelled_sample
 
 #: At most so many labelled rows of each class are learned from.
 PER_CLASS = 1_000
+#: The end marker counts as so many features, so that a few odd words do not decide on a short text alone.
+END = 5.0
 #: Distinct words whose sums a task keeps; a full table is emptied.
 TABLE_WORDS = 400_000
 
@@ -59,7 +62,7 @@ def word_features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarra
     whole = np.add.reduceat(mix(spread + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), ends - lengths)
     buckets, owners = [mix(whole + np.uint64(1)) >> shift], [np.arange(len(words))]
     value = np.zeros(len(points), np.uint64)
-    for n in range(1, shape.longest + 1):
+    for n in range(1, min(shape.longest, len(points)) + 1):
         value[: len(points) - n + 1] = value[: len(points) - n + 1] * np.uint64(0x100000001B3) + spread[n - 1 :]
         if n >= shape.shortest:
             # The word itself with its ends is a feature already.
@@ -72,18 +75,16 @@ def word_features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarra
 def document_features(text: str, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and the share of its features in each."""
     words = text.split()
-    repeats = sum(map(str.__eq__, words, words[1:]))
+    counts, repeats = Counter(words), Counter(b for a, b in zip(words, words[1:], strict=False) if a == b)
     markers = np.array([shape.buckets - 2, shape.buckets - 1])
-    counts = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    buckets, weight, marked = np.zeros(0, np.int64), np.zeros(0), 0.0
     if counts:
         buckets, owner = word_features(list(counts), shape)
-        weight = np.fromiter(counts.values(), np.float64, len(counts))[owner]
-    else:
-        buckets, weight = np.zeros(0, np.int64), np.zeros(0)
+        again = np.array([repeats[w] for w in counts], np.float64)
+        weight = (np.fromiter(counts.values(), np.float64, len(counts)) - again)[owner]
+        marked = again[owner].sum()
     buckets, at = np.unique(np.concatenate([buckets, markers]), return_inverse=True)
-    weight = np.bincount(at, np.concatenate([weight, [repeats, 1]]))
+    weight = np.bincount(at, np.concatenate([weight, [marked, END]]))
     return buckets, weight / weight.sum()
 
 
@@ -147,10 +148,11 @@ class Scorer:
             self._add(sorted(missing))
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         owner = np.repeat(np.arange(len(texts)), lengths)
-        again = owner[1:][(at[1:] == at[:-1]) & (owner[1:] == owner[:-1])]
-        repeats = np.bincount(again, minlength=len(texts))
-        total = np.bincount(owner, self.sums[at], len(texts)) + repeats * self.odds[-2] + self.odds[-1]
-        count = np.bincount(owner, self.counts[at], len(texts)) + repeats + 1
+        again = np.zeros(len(at), bool)
+        again[1:] = (at[1:] == at[:-1]) & (owner[1:] == owner[:-1])
+        count = self.counts[at]
+        total = np.bincount(owner, np.where(again, count * self.odds[-2], self.sums[at]), len(texts)) + END * self.odds[-1]
+        count = np.bincount(owner, count, len(texts)) + END
         return 1 / (1 + np.exp(-total / count))
 
 

@@ -65,8 +65,9 @@ def test_held_out_documents(spark):
     rows = score_toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
     assert len(rows) > 500
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.98
+    # One in fifteen of the texts labelled toxic here holds none of the words that the others do.
     toxic, clean = ([r.score for r in rows if r.toxic == v] for v in (1, 0))
-    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.1
+    assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.05
     assert all(0 <= r.score <= 1 for r in rows)
     assert any(e.label == 1 for r in rows if r.predicted for e in r.evidence)
 
