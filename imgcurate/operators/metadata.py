@@ -32,9 +32,11 @@ def attach_metadata(
     """Left join of images to the records of their batch by index.
 
     Adds ``metadata`` (JSON text, ``{}`` without a record) and ``metadata_valid``,
-    which is false for a batch whose JSON cannot be read.
+    which is false for a batch whose JSON cannot be read. A batch may come in several
+    texts: it is valid if one of them is, and no image is multiplied.
     """
-    valid = batches.select(*batch, strict_json(F.col(source)).isNotNull().alias("_valid"))
+    read = strict_json(F.col(source)).isNotNull()
+    valid = batches.select(*batch, read.alias("_valid")).groupBy(*batch).agg(F.max("_valid").alias("_valid"))
     return (
         images.join(valid, list(batch), "left")
         .join(explode_metadata(batches, batch, source), [*batch, "index"], "left")
@@ -93,7 +95,7 @@ def join_captions(images: DataFrame, captions: DataFrame, positional: bool = Fal
     joined = images.join(by_name, "filename", "left").withColumn("caption", F.coalesce("caption", F.lit("")))
     if not positional:
         return joined
-    by_place = captions.select("position", F.col("caption").alias("_placed"))
+    by_place = captions.groupBy("position").agg(F.max("caption").alias("_placed"))
     return (
         joined.join(by_place, "position", "left")
         .withColumn(

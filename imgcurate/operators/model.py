@@ -18,7 +18,7 @@ from imgcurate.functions.parsing import (
     parse_model_json,
 )
 from imgcurate.operators.geometry import fit_within
-from imgcurate.operators.ranking import join_in_order
+from imgcurate.operators.ranking import join_in_order, with_position
 
 Model = Callable[[pd.DataFrame], pd.Series]
 
@@ -74,10 +74,15 @@ def build_requests(
 
 
 def assign_endpoint(df: DataFrame, urls: str, default: str, index: str = "image_id") -> DataFrame:
-    """M2: give rows to the endpoints in turn, by a running number."""
+    """M2: give rows to the endpoints in turn, by their place in the order of ``index``.
+
+    Places come from a sort of the index alone; gaps in it do not matter.
+    """
     listed = F.filter(F.transform(F.split(F.lit(urls), ","), lambda u: F.trim(u)), lambda u: u != "")
     known = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit(default)))
-    return df.withColumn("endpoint", F.get(known, F.pmod(F.col(index), F.size(known)).cast("int")))
+    placed = with_position(df.select(index).distinct(), [index], position="_place", total="_n").drop("_n")
+    chosen = F.get(known, F.pmod("_place", F.size(known)).cast("int"))
+    return df.join(placed, index, "left").withColumn("endpoint", chosen).drop("_place")
 
 
 def map_model(
@@ -203,7 +208,7 @@ def analysis_record(value: Column) -> Column:
 
 
 def model_analyze(df: DataFrame, response: str = "response") -> DataFrame:
-    """``metadata`` struct, or ``error`` and the start of the answer in ``raw``."""
+    """``metadata`` struct and the whole answer as JSON in ``record``, or ``error`` and the answer in ``raw``."""
     data = F.col("_data")
     read = data.isNotNull()
 
@@ -226,9 +231,10 @@ def model_analyze(df: DataFrame, response: str = "response") -> DataFrame:
             {
                 "metadata": F.when(read, analysis_record(data)),
                 "error": F.when(~read, "Failed to parse model response"),
-                "raw": F.when(~read, F.substring(start, 1, 200)),
+                "record": F.when(read, F.to_json(data)),
+                "raw": F.when(~read, start),
                 "log_line": F.when(read, line).otherwise(
-                    F.concat("filename", F.lit(": PARSE ERROR — "), F.substring(start, 1, 100))
+                    F.concat("filename", F.lit(": PARSE ERROR — "), F.substring(start, 1, 100))  # a line of a log
                 ),
             }
         )
@@ -281,7 +287,8 @@ def build_prompt(
     """``prompt`` per row from ``presets(preset, template)``; unknown presets use the default's.
 
     Templates may hold ``{extra}`` and ``{trigger_word}``. The presets table is
-    small: it is looked up by the default once and joined by name.
+    small: it is looked up by the default once and joined by name. Of several templates
+    of a preset the last in the alphabet counts, so rows are never multiplied.
     """
     begin = f"Begin the caption with the exact text: {trigger_word}"
     if prompt_override.strip():
@@ -294,6 +301,7 @@ def build_prompt(
     extra = [begin] if trigger_word else []
     if custom_instructions:
         extra.append(f"Additional instructions: {custom_instructions}")
+    presets = presets.groupBy("preset").agg(F.max("template").alias("template"))
     fallback = presets.filter(F.col("preset") == default).select("template").scalar()
     template = F.coalesce("template", fallback)
     filled = F.replace(template, F.lit("{extra}"), F.lit("\n".join(extra)))

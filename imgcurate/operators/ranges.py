@@ -12,9 +12,10 @@ from imgcurate.operators.sampling import one_per_interval
 
 
 def select_high(frames: DataFrame) -> DataFrame:
-    """Frames of the high tier; if there is none anywhere, every frame that has a number."""
-    any_high = frames.select(F.max(F.col("tier") == "high").alias("any")).scalar()
-    return frames.filter("video is not null and frame_no is not null").filter(
+    """Frames of the high tier that have a number; if there is none anywhere, every frame that has one."""
+    usable = frames.filter("video is not null and frame_no is not null")
+    any_high = usable.select(F.max(F.col("tier") == "high").alias("any")).scalar()
+    return usable.filter(
         F.when(F.coalesce(any_high, F.lit(False)), F.col("tier") == "high").otherwise(True)
     )
 

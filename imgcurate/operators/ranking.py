@@ -99,14 +99,8 @@ def with_position(
     return out.withColumns(added).select(*df.columns, position, total, *running)
 
 
-# Up to this many rows may be sorted and numbered by one task.
-SMALL = 10_000
-
-
 def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    """The first ``n`` rows. Few are picked by a heap per task, many by their position."""
-    if n <= SMALL:
-        return df.orderBy(*order).limit(n)
+    """The first ``n`` rows, by their position in a distributed sort."""
     placed = with_position(df, order, position="_pos", total="_n")
     return placed.filter(F.col("_pos") < n).drop("_pos", "_n")
 

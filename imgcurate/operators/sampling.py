@@ -23,29 +23,40 @@ def one_per_interval(df: DataFrame, group: Sequence[str], interval: Column) -> D
     )
 
 
-def cap_per_video(frames: DataFrame, n: int | Column) -> DataFrame:
-    return top_per_group(frames, ["video"], ORDER, n, spread="image_id")
+def cap_per_video(frames: DataFrame, n: int | Column | None) -> DataFrame:
+    """The first ``n`` frames of each video; None leaves all."""
+    return frames if n is None else top_per_group(frames, ["video"], ORDER, n, spread="image_id")
 
 
-def sample_fps(frames: DataFrame, fps: float = 1.0, max_frames: int = 500) -> DataFrame:
-    """one frame per ``1/fps`` seconds, at most ``max_frames`` of a video."""
+def sample_fps(frames: DataFrame, fps: float = 1.0, max_frames: int | None = None) -> DataFrame:
+    """one frame per ``1/fps`` seconds, of a video at most ``max_frames`` if given."""
     if not 0.1 <= fps <= 30:
         raise ValueError("fps must lie in 0.1 to 30")
     ticks = F.floor(F.col("ts") * F.lit(float(fps)))
     return cap_per_video(one_per_interval(frames, ["video"], ticks), max_frames)
 
 
-def sample_scene(frames: DataFrame, threshold: float = 0.10, max_frames: int = 500) -> DataFrame:
-    """F2: frames whose scene score exceeds the threshold, at most three times ``max_frames``."""
-    return cap_per_video(frames.filter(F.col("scene_score") > threshold), 3 * max_frames)
+# A later pass thins these samples, so they take so many times the cap of a video.
+SCENE_FACTOR = 3
+KEYFRAME_FACTOR = 2
 
 
-def sample_keyframes(frames: DataFrame, max_frames: int = 500) -> DataFrame:
-    """keyframes, at most twice ``max_frames``."""
-    return cap_per_video(frames.filter("is_keyframe"), 2 * max_frames)
+def sample_scene(
+    frames: DataFrame, threshold: float = 0.10, max_frames: int | None = None, factor: int = SCENE_FACTOR
+) -> DataFrame:
+    """F2: frames whose scene score exceeds the threshold, of a video at most ``factor * max_frames`` if given."""
+    most = None if max_frames is None else factor * max_frames
+    return cap_per_video(frames.filter(F.col("scene_score") > threshold), most)
+
 
+def sample_keyframes(frames: DataFrame, max_frames: int | None = None, factor: int = KEYFRAME_FACTOR) -> DataFrame:
+    """keyframes, of a video at most ``factor * max_frames`` if given."""
+    return cap_per_video(frames.filter("is_keyframe"), None if max_frames is None else factor * max_frames)
 
-def with_fallback(chosen: DataFrame, frames: DataFrame, fps: float = 1.0, max_frames: int = 500) -> DataFrame:
+
+def with_fallback(
+    chosen: DataFrame, frames: DataFrame, fps: float = 1.0, max_frames: int | None = None
+) -> DataFrame:
     """videos of which nothing was chosen are sampled by rate instead."""
     rest = frames.join(chosen.select("video").distinct(), "video", "left_anti")
     return chosen.withColumn("fallback", F.lit(False)).unionByName(
@@ -79,7 +90,7 @@ def even_subsample(
     return placed.filter(_is_even_pick(F.col("_pos"), F.col("_n"), m)).drop("_pos", "_n")
 
 
-def video_quota(frames: DataFrame, max_frames: int = 500) -> DataFrame:
+def video_quota(frames: DataFrame, max_frames: int) -> DataFrame:
     """one row with the share of frames each video may bring."""
     return frames.agg(F.count_distinct("video").alias("videos")).select(
         "videos",
@@ -89,7 +100,7 @@ def video_quota(frames: DataFrame, max_frames: int = 500) -> DataFrame:
     )
 
 
-def per_video_quota(frames: DataFrame, max_frames: int = 500) -> DataFrame:
+def per_video_quota(frames: DataFrame, max_frames: int) -> DataFrame:
     """subsample every video to its quota, then all videos together to ``max_frames``."""
     quota = video_quota(frames, max_frames).select("quota").scalar()
     each = even_subsample(frames, quota, ORDER, ["video"])

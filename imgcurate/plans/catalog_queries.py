@@ -11,6 +11,7 @@ from imgcurate.plans import tables as t
 from imgcurate.plans.registry import query
 from imgcurate.sources import catalog as ct
 
+# File extensions, as in the catalog.
 IMAGES = "('.png', '.jpg', '.jpeg', '.webp', '.bmp', '.tiff')"
 BROWSED = "('.jpg', '.jpeg', '.png', '.webp', '.bmp', '.gif')"
 
@@ -36,6 +37,17 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.keep_large(chosen, _decoded(spark, sf_dir), 256).select("path", "width", "height")
 
 
+@query(
+    "s1_scan_images_all",
+    f"""WITH {t.CATALOG} SELECT path, CAST(100 + length % 900 AS INTEGER) AS width, CAST(100 + length % 700 AS INTEGER) AS height
+    FROM catalog WHERE ext IN {IMAGES} AND length >= 400 AND least(100 + length % 900, 100 + length % 700) >= 256""",
+)
+def s1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a cut of the listing."""
+    chosen = ct.choose_images(t.catalog(spark, sf_dir))
+    return ct.keep_large(chosen, _decoded(spark, sf_dir), 256).select("path", "width", "height")
+
+
 def _placed(named: DataFrame, keys: list) -> DataFrame:
     return with_position(named.select("path", "name", "modificationTime", "length"), keys, position="place").select("path", "place")
 

@@ -46,6 +46,21 @@ def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.sample_keyframes(t.frames(spark, sf_dir), 5).select("image_id", "video")
 
 
+@query("f1_sample_fps_all", f"WITH {t.FRAMES}{RATED} SELECT image_id, video, frame_no FROM by_rate")
+def f1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.sample_fps(t.frames(spark, sf_dir), 0.1).select("image_id", "video", "frame_no")
+
+
+@query("f2_sample_scene_all", f"WITH {t.FRAMES} SELECT image_id, video, scene_score FROM frames WHERE scene_score > 0.1")
+def f2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.sample_scene(t.frames(spark, sf_dir), 0.10).select("image_id", "video", "scene_score")
+
+
+@query("f3_sample_keyframes_all", f"WITH {t.FRAMES} SELECT image_id, video FROM frames WHERE is_keyframe")
+def f3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sm.sample_keyframes(t.frames(spark, sf_dir)).select("image_id", "video")
+
+
 @query(
     "f4_with_fallback",
     f"""WITH {t.FRAMES}{RATED}, scenes AS (

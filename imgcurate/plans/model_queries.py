@@ -82,6 +82,17 @@ def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mo.assign_endpoint(_documents(spark, sf_dir), urls, "http://d:4").select("image_id", "endpoint")
 
 
+@query(
+    "m2_assign_endpoint_sparse_ids",
+    "SELECT o_orderkey * 7 AS image_id, (['http://a:1', 'http://b:2'])[(row_number() OVER (ORDER BY o_orderkey) - 1) % 2 + 1] AS endpoint "
+    "FROM orders WHERE o_orderkey % 4 = 0",
+)
+def m2_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns go by place, not by id."""
+    sparse = t.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select((F.col("o_orderkey") * 7).alias("image_id"))
+    return mo.assign_endpoint(sparse, "http://a:1,http://b:2", "http://d:4").select("image_id", "endpoint")
+
+
 @query("m2_assign_default_endpoint", "SELECT doc_id AS image_id, 'http://d:4' AS endpoint FROM documents")
 def m2_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mo.assign_endpoint(_documents(spark, sf_dir), " , ", "http://d:4").select("image_id", "endpoint")
@@ -214,7 +225,7 @@ ANSWER_TEXT = """, texts AS (
     "m10_model_analyze",
     f"""WITH {t.ANSWERS}{ANSWER_TEXT} SELECT image_id, CASE WHEN ok THEN (n % 101)::DOUBLE END AS quality_score,
       CASE WHEN ok THEN [lang, source, 't' || image_id % 7, 'a', 'b', 'c'] END AS tags,
-      CASE WHEN NOT ok THEN 'Failed to parse model response' END AS error, CASE WHEN NOT ok THEN response[1:200] END AS raw,
+      CASE WHEN NOT ok THEN 'Failed to parse model response' END AS error, CASE WHEN NOT ok THEN response END AS raw,
       CASE WHEN ok THEN filename || ': quality=' || n % 101 || ' aesthetic=? pose=' || lang || ' angle=' || source || ' tags=[' || lang || ', ' || source || ', t' || image_id % 7 || ', a, b]'
         ELSE filename || ': PARSE ERROR — ' || response[1:100] END AS log_line FROM responses""",
 )

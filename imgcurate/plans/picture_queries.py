@@ -33,6 +33,16 @@ def keep_first_sql(source: str, threshold: int, group: str = "") -> str:
     )"""
 
 
+def nearest_kept_sql(source: str, threshold: int, group: str = "0") -> str:
+    """Verdicts of ``walk`` with the smallest kept row near each removed one."""
+    return f"""(
+      WITH told AS (SELECT s.image_id, s.word, {group} AS grp, dup FROM {source} s JOIN walk USING (image_id)), near AS (
+        SELECT r.image_id, min(k.image_id) AS duplicate_of FROM told r JOIN told k
+        ON r.grp = k.grp AND r.dup AND NOT k.dup AND bit_count(xor(r.word, k.word)) <= {threshold} GROUP BY r.image_id
+      ) SELECT image_id, dup AS is_duplicate, duplicate_of FROM told LEFT JOIN near USING (image_id)
+    )"""
+
+
 # Frequencies of 32 by 32 pictures made of 4 by 4 blocks.
 HASHED = (
     t.PICTURES
@@ -109,38 +119,39 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d3_dedup_first_wins",
-    f"WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', 6)} SELECT image_id, dup AS is_duplicate FROM walk",
+    f"WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', 6)} SELECT * FROM {nearest_kept_sql('hashes', 6)}",
 )
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dd.dedup_first_wins(t.sign_words(spark, sf_dir), 6, bits=32).select("image_id", "is_duplicate")
+    return dd.dedup_first_wins(t.sign_words(spark, sf_dir), 6, bits=32).select("image_id", "is_duplicate", "duplicate_of")
 
 
 @query(
     "d3_dedup_orders",
-    f"WITH RECURSIVE {t.ORDER_HASHES}, {keep_first_sql('order_hashes', 2)} SELECT image_id, dup AS is_duplicate FROM walk",
+    f"WITH RECURSIVE {t.ORDER_HASHES}, {keep_first_sql('order_hashes', 2)} SELECT * FROM {nearest_kept_sql('order_hashes', 2)}",
 )
 def d3_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many near copies: about ten orders of a customer within two bits of each other."""
-    return dd.dedup_first_wins(t.order_hashes(spark, sf_dir), 2, bits=60).select("image_id", "is_duplicate")
+    return dd.dedup_first_wins(t.order_hashes(spark, sf_dir), 2, bits=60).select("image_id", "is_duplicate", "duplicate_of")
 
 
 @query(
     "d4_dedup_exact",
-    f"""WITH {t.sign_words_sql(8)} SELECT image_id, row_number() OVER (PARTITION BY word ORDER BY image_id) > 1 AS is_duplicate FROM hashes""",
+    f"""WITH {t.sign_words_sql(8)} SELECT image_id, image_id > first_id AS is_duplicate, CASE WHEN image_id > first_id THEN first_id END AS duplicate_of
+    FROM (SELECT image_id, min(image_id) OVER (PARTITION BY word) AS first_id FROM hashes)""",
 )
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dd.dedup_exact(t.sign_words(spark, sf_dir, 8)).select("image_id", "is_duplicate")
+    return dd.dedup_exact(t.sign_words(spark, sf_dir, 8)).select("image_id", "is_duplicate", "duplicate_of")
 
 
 @query(
     "d5_dedup_per_group",
     f"""WITH RECURSIVE {t.FRAMES}, hashed AS (SELECT image_id, video, word FROM frames WHERE word IS NOT NULL),
     {keep_first_sql('hashed', 2, 'video')}
-    SELECT image_id, dup AS is_duplicate FROM walk UNION ALL SELECT image_id, false FROM frames WHERE word IS NULL""",
+    SELECT * FROM {nearest_kept_sql('hashed', 2, 'video')} UNION ALL SELECT image_id, false, NULL FROM frames WHERE word IS NULL""",
 )
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = t.frames(spark, sf_dir).select("image_id", "video", "words")
-    return dd.dedup_first_wins(frames, 2, bits=16, group=["video"]).select("image_id", "is_duplicate")
+    return dd.dedup_first_wins(frames, 2, bits=16, group=["video"]).select("image_id", "is_duplicate", "duplicate_of")
 
 
 @query(
@@ -169,6 +180,18 @@ def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dd.dedup_counts(dd.dedup_first_wins(t.sign_words(spark, sf_dir), 7, bits=32))
 
 
+@query(
+    "d7_dedup_split_rows",
+    f"""WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', 7)}
+    SELECT CASE WHEN is_duplicate THEN 'removed' ELSE 'kept' END AS side, image_id, duplicate_of FROM {nearest_kept_sql('hashes', 7)}""",
+)
+def d7_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = dd.dedup_first_wins(t.sign_words(spark, sf_dir), 7, bits=32)
+    kept, removed = dd.dedup_split(marked)
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "image_id", "duplicate_of")
+    return side(kept, "kept").unionByName(side(removed, "removed"))
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_pixel_stats(t.pictures(spark, sf_dir))
 

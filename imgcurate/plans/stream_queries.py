@@ -67,9 +67,8 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH RECURSIVE {t.sign_words_sql()}, {keep_first_sql('hashes', 6)} SELECT image_id FROM walk WHERE NOT dup",
 )
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signs = F.transform(F.slice("embedding", 1, 32), lambda x: (x >= 0).cast("bigint"))
-    word = F.aggregate(signs, F.lit(0).cast("bigint"), lambda total, s: total * 2 + s)
-    rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.array(word).alias("words"))
+    word = F.array(t.sign_word(32)).alias("words")
+    rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), word)
     path = scratch_path(spark, "kept")
     writer = st.dedup_stream(rows, path, 6, bits=32).option("checkpointLocation", f"{path}-checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -222,12 +222,22 @@ STATS = (
 )
 
 
+def sign_word(bits: int) -> Column:
+    """The signs of all 64 numbers of an embedding, of which each ``64 / bits`` make a bit, even or odd."""
+
+    def bit(i: Column) -> Column:
+        signs = F.transform(F.sequence(F.lit(0), F.lit(64 // bits - 1)), lambda j: F.get("embedding", i + j * bits) >= 0)
+        return F.size(F.filter(signs, lambda s: s)).cast("bigint") % 2
+
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("bigint"), lambda total, i: total * 2 + bit(i)
+    )
+
+
 def sign_words(spark: SparkSession, sf_dir: str, bits: int = 32) -> DataFrame:
-    """A hash per picture: the signs of the first numbers of its embedding."""
-    signs = F.transform(F.slice("embedding", 1, bits), lambda x: (x >= 0).cast("bigint"))
-    word = F.aggregate(signs, F.lit(0).cast("bigint"), lambda total, s: total * 2 + s)
+    """A hash per picture from the signs of its embedding."""
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("image_id"), F.col("label"), F.array(word).alias("words")
+        F.col("vec_id").alias("image_id"), F.col("label"), F.array(sign_word(bits)).alias("words")
     )
 
 
@@ -235,7 +245,7 @@ def sign_words_sql(bits: int = 32) -> str:
     return f"""
 hashes AS (
   SELECT vec_id AS image_id, label,
-         list_sum(list_transform(range({bits}), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN 1::BIGINT << ({bits} - 1 - i) ELSE 0::BIGINT END))::BIGINT AS word
+         list_sum(list_transform(range({bits}), lambda i: len(list_filter(range({64 // bits}), lambda j: embedding[i + 1 + j * {bits}] >= 0)) % 2 << ({bits} - 1 - i)))::BIGINT AS word
   FROM embeddings
 )"""
 

@@ -82,7 +82,7 @@ def test_even_subsample(spark):
 def test_quota(spark):
     for videos, expected in ((1, 500), (3, 166), (20, 50)):
         df = spark.range(videos * 2).select((F.col("id") % videos).cast("string").alias("video"))
-        assert sm.video_quota(df).first().quota == expected
+        assert sm.video_quota(df, 500).first().quota == expected
 
 
 def test_tiers(spark):
