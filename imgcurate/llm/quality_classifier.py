@@ -10,7 +10,7 @@ linear, so for scoring each bucket shrinks to one number and each distinct word
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .arrow import added, map_slices, slices, with_arrays
+from .arrow import slices
 from .hashing import mix
 from .registry import held_out, query, table
 from .sample import labelled_sample
@@ -30,7 +29,9 @@ PER_CLASS = 1_000
 #: The end marker counts as so many features, so that a few odd words do not decide on a short text alone.
 END = 5.0
 #: Distinct words whose sums a task keeps; a full table is emptied.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 100_000
+#: Words whose features are made at once.
+WORDS_AT_ONCE = 20_000
 
 
 @dataclass(frozen=True)
@@ -130,11 +131,14 @@ class Scorer:
         self.sums, self.counts = np.zeros(0), np.zeros(0)
 
     def _add(self, words: list[str]) -> None:
-        buckets, owner = word_features(words, self.shape)
-        sums = np.bincount(owner, self.odds[buckets], len(words))
-        counts = np.bincount(owner, minlength=len(words)).astype(np.float64)
+        sums, counts = [self.sums], [self.counts]
         self.place.update(zip(words, range(len(self.sums), len(self.sums) + len(words)), strict=True))
-        self.sums, self.counts = np.concatenate([self.sums, sums]), np.concatenate([self.counts, counts])
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            some = words[low : low + WORDS_AT_ONCE]
+            buckets, owner = word_features(some, self.shape)
+            sums.append(np.bincount(owner, self.odds[buckets], len(some)))
+            counts.append(np.bincount(owner, minlength=len(some)).astype(np.float64))
+        self.sums, self.counts = np.concatenate(sums), np.concatenate(counts)
 
     def score(self, texts: list[str]) -> np.ndarray:
         words = [t.split() for t in texts]
@@ -181,20 +185,21 @@ def fit(sample: DataFrame, shape: Shape = Shape()) -> np.ndarray:
 
 
 def with_score(df: DataFrame, odds: np.ndarray, shape: Shape = Shape(), text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with the probability of label 1 in ``out``. A null text counts as empty and is scored by its end marker."""
-    schema = added(df, (out, T.DoubleType()))
-    names = schema.fieldNames()
+    """``df`` with the probability of label 1 in ``out``. A null text counts as empty and is scored by its end marker.
+
+    Only the text goes to Python, and only the score comes back.
+    """
     shared = df.sparkSession.sparkContext.broadcast(odds)  # one number a bucket, whatever the input
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value, shape)
+        for column in columns:
+            parts = slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text", 1 << 20)
+            made = [scorer.score([t or "" for t in part.column("text").to_pylist()]) for part in parts]
+            yield pa.array(np.concatenate([np.zeros(0), *made]))
 
-        def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            return with_arrays(part, names, **{out: pa.array(scorer.score([t or "" for t in part.column(text).to_pylist()]))})
-
-        return step
-
-    return map_slices(df, make, schema, text)
+    return df.withColumn(out, score(F.col(text)))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.ndarray:

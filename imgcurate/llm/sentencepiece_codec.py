@@ -22,7 +22,9 @@ from .registry import query, table
 
 MARK = "▁"
 #: Distinct chunks a task keeps; a full table is emptied, which costs time and changes nothing.
-TABLE_CHUNKS = 250_000
+TABLE_CHUNKS = 100_000
+#: Bytes of texts or ids worked on at once.
+SLICE = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -106,7 +108,7 @@ def encode(
 
         return step
 
-    return map_slices(df, make, schema, text)
+    return map_slices(df, make, schema, text, SLICE)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -124,7 +126,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", ke
 
         return step
 
-    return map_slices(df, make, schema, ids)
+    return map_slices(df, make, schema, ids, SLICE)
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
