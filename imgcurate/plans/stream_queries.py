@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from imgcurate.plans import tables as t
 from imgcurate.plans.picture_queries import keep_first_sql
@@ -32,6 +33,11 @@ def _run(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _drain(writer: DataStreamWriter, path: str) -> None:
+    """Work off what is there with a writer that keeps its own table."""
+    writer.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 @query(
     "stream_d4_dedup_exact",
     "SELECT DISTINCT user_id, CAST(round(value * 100) AS BIGINT) AS word FROM events",
@@ -50,16 +56,16 @@ def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH opened AS (
       SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 18000000000 THEN 0 ELSE 1 END AS o FROM events
     ), islands AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS c FROM opened)
-    SELECT 'v' || user_id AS video, min(us) AS start_us, max(us) AS end_us, count(*) AS frames FROM islands GROUP BY user_id, c
-    HAVING (max(us) + 18000000000) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 86400000 FROM events)""",
+    SELECT 'v' || user_id AS video, min(us) AS start_us, max(us) AS end_us, count(*) AS frames FROM islands GROUP BY user_id, c""",
 )
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that are over a day before the newest event."""
+    """All clusters, those still open included."""
     frames = _stream(spark, sf_dir, "events").select(
         F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video"), _instant()
     )
-    done = _run(st.cluster_ranges_stream(frames, "5 hours", "1 day"))
-    return done.select("video", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "frames")
+    path = scratch_path(spark, "clusters")
+    _drain(st.cluster_ranges_stream(frames, path, "5 hours"), path)
+    return st.stored_clusters(spark, path).select("video", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "frames")
 
 
 @query(
@@ -70,8 +76,7 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.array(t.sign_word(32)).alias("words")
     rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), word)
     path = scratch_path(spark, "kept")
-    writer = st.dedup_stream(rows, path, 6, bits=32).option("checkpointLocation", f"{path}-checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    _drain(st.dedup_stream(rows, path, 6, bits=32), path)
     return spark.read.schema("image_id long, words array<long>, batch long").parquet(path).select("image_id")
 
 
@@ -79,17 +84,16 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_m5_assemble",
     """WITH ends AS (SELECT conv_id, min(turn) AS e FROM conversations WHERE length(text) < 40 GROUP BY conv_id)
     SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS response
-    FROM conversations LEFT JOIN ends USING (conv_id) WHERE e IS NULL OR turn <= e GROUP BY conv_id
-    HAVING conv_id * 600 + (SELECT max(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id) + 60
-      <= (SELECT max(conv_id * 600 + turn) FROM conversations) - 60""",
+    FROM conversations LEFT JOIN ends USING (conv_id) WHERE e IS NULL OR turn <= e GROUP BY conv_id""",
 )
 def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation every ten minutes, a turn a second; those that are over."""
+    """Conversations that have ended, and what there is of those that have not."""
     chunks = _stream(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("request_id"),
         F.col("turn").alias("seq"),
         F.col("text").alias("fragment"),
         (F.length("text") < 40).alias("done"),
-        F.timestamp_seconds(F.col("conv_id") * 600 + F.col("turn")).alias("ts"),
     )
-    return _run(st.assemble_fragments_stream(chunks, "1 minute"))
+    path = scratch_path(spark, "requests")
+    _drain(st.assemble_fragments_stream(chunks, path), path)
+    return st.responses(spark, path).unionByName(st.open_requests(spark, path))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from imgcurate.functions.bits import with_band_keys
 from imgcurate.operators.dedup import dedup_first_wins
+from imgcurate.operators.model import assemble_stream
+from imgcurate.session import written
 
 KEPT = "image_id long, words array<long>"
 
@@ -23,38 +24,111 @@ def incremental_scan(spark: SparkSession, folder: str, glob: str | None = None)
     return reader.load(folder).select("path", "modificationTime", "length")
 
 
-def dedup_exact_stream(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First arrival of every hash; the state of a hash is dropped after ``delay``."""
+def dedup_exact_stream(frames: DataFrame, delay: str) -> DataFrame:
+    """First arrival of every hash; the state of a hash is dropped after ``delay``.
+
+    Copies that come later than that are let through. ``dedup_stream`` with
+    ``threshold=0`` keeps a table of all hashes instead and lets none through.
+    """
     return frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["words"])
 
 
-def assemble_fragments_stream(chunks: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """M5: a response per request once no fragment has come for the delay.
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table whose batches are folders named by their number; empty before the first."""
+    try:
+        return spark.read.schema(f"{schema}, batch long").parquet(path)
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], f"{schema}, batch long")
+
+
+FRAGMENTS = "request_id long, seq long, fragment string, done boolean"
+RESPONSES = "request_id long, response string"
+
+
+def assemble_fragments_stream(chunks: DataFrame, table: str) -> DataStreamWriter:
+    """M5: responses as requests end, whatever the pauses between their fragments.
 
-    ``chunks(request_id, seq, fragment, done, ts)``. Fragments behind the first
-    ``done`` are cut off.
+    ``chunks(request_id, seq, fragment, done)``. Fragments are kept in
+    ``table/fragments``. A batch that brings the end of requests writes their
+    responses to ``table/responses``; fragments behind the first ``done`` are cut
+    off. Every batch writes folders of its own, so it may run again. What has not
+    ended is given by ``open_requests``.
     """
-    end = F.array_min(F.transform(F.filter("pieces", lambda p: p["done"]), lambda p: p["seq"]))
-    used = F.filter(F.array_sort("pieces"), lambda p: F.col("_end").isNull() | (p["seq"] <= F.col("_end")))
-    return (
-        chunks.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", delay), "request_id")
-        .agg(F.collect_list(F.struct("seq", "fragment", "done")).alias("pieces"))
-        .withColumn("_end", end)
-        .select("request_id", F.array_join(F.transform(used, lambda p: p["fragment"]), "").alias("response"))
-    )
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.select(*[f.split()[0] for f in FRAGMENTS.split(", ")]).write.mode("overwrite").parquet(
+            f"{table}/fragments/batch={number}"
+        )
+        known = _stored(spark, f"{table}/fragments", FRAGMENTS).filter(F.col("batch") <= number)
+        ended = known.filter((F.col("batch") == number) & F.col("done")).select("request_id").distinct()
+        told = _stored(spark, f"{table}/responses", RESPONSES).filter(F.col("batch") < number)
+        fresh = ended.join(told, "request_id", "left_anti")
+        response = assemble_stream(known.drop("batch").join(fresh, "request_id", "left_semi"))
+        response.write.mode("overwrite").parquet(f"{table}/responses/batch={number}")
+
+    return chunks.writeStream.foreachBatch(merge)
+
+
+def responses(spark: SparkSession, table: str) -> DataFrame:
+    """M5: ``(request_id, response)`` of the requests that have ended."""
+    return _stored(spark, f"{table}/responses", RESPONSES).drop("batch")
 
 
-def cluster_ranges_stream(frames: DataFrame, gap: str = "10 seconds", delay: str = "1 minute") -> DataFrame:
-    """R2: clusters of high frames as session windows; a gap of exactly ``gap`` still merges."""
+def open_requests(spark: SparkSession, table: str) -> DataFrame:
+    """M5: what there is of the requests that have not ended, to be called when no more will come."""
+    rest = _stored(spark, f"{table}/fragments", FRAGMENTS).drop("batch").join(responses(spark, table), "request_id", "left_anti")
+    return assemble_stream(rest)
+
+
+SESSIONS = "video string, start_ts timestamp, end_ts timestamp, frames long"
+
+
+def _merged(sessions: DataFrame, gap: str) -> DataFrame:
+    """Sessions of a video that lie at most ``gap`` apart become one."""
+    ordered = Window.partitionBy("video").orderBy("start_ts", "end_ts")
+    before = F.max("end_ts").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("start_ts") > before + F.expr(f"INTERVAL {gap}"), F.lit(True)).cast("int")
+    numbered = sessions.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(ordered))
     return (
-        frames.withWatermark("ts", delay)
-        .groupBy("video", F.session_window("ts", gap))
-        .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("frames"))
-        .drop("session_window")
+        numbered.groupBy("video", "_session")
+        .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("frames").alias("frames"))
+        .drop("_session")
     )
 
 
+def cluster_ranges_stream(frames: DataFrame, table: str, gap: str = "10 seconds") -> DataStreamWriter:
+    """R2: a table of clusters of high frames, kept up to date; a gap of exactly ``gap`` still merges.
+
+    A batch is first clustered by session windows, which need one row per cluster
+    and task. These are merged with the stored clusters of the same videos, however
+    late they come, and the videos touched are written anew under the number of the
+    batch. ``stored_clusters`` reads the latest state, open clusters included.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # A session window ends at its last row plus its gap, and what starts there is not part of it.
+        window = F.session_window("ts", f"{gap} 1 microsecond")
+        new = batch.groupBy("video", window).agg(
+            F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("frames")
+        ).drop("session_window")
+        new = written(new, "sessions")
+        old = stored_clusters(spark, table, number).join(new.select("video").distinct(), "video", "left_semi")
+        _merged(new.unionByName(old), gap).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return frames.writeStream.foreachBatch(merge)
+
+
+def stored_clusters(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """R2: the clusters after all batches, or after those with a number below ``before``."""
+    known = _stored(spark, table, SESSIONS)
+    if before is not None:
+        known = known.filter(F.col("batch") < before)
+    last = known.groupBy("video").agg(F.max("batch").alias("batch"))
+    return known.join(last, ["video", "batch"]).select("video", "start_ts", "end_ts", "frames")
+
+
 def dedup_against_kept(batch: DataFrame, kept: DataFrame, threshold: int, bits: int) -> DataFrame:
     """Rows of a batch that repeat neither a kept row nor an earlier kept one of the batch.
 
@@ -81,10 +155,7 @@ def dedup_stream(
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.select("image_id", "words")
-        try:
-            kept = batch.sparkSession.read.schema(f"{KEPT}, batch long").parquet(table)
-        except AnalysisException:  # nothing written yet
-            kept = batch.sparkSession.createDataFrame([], f"{KEPT}, batch long")
+        kept = _stored(batch.sparkSession, table, KEPT)
         fresh = dedup_against_kept(rows, kept.filter(F.col("batch") < number), threshold, bits)
         fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
