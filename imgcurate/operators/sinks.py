@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imgcurate.operators.ranking import with_position
+from imgcurate.session import delete_path
 
 
 def output_stem(filename: Column, index: Column, prefix: str = "") -> Column:
@@ -33,27 +34,41 @@ def manifest(df: DataFrame) -> DataFrame:
 def write_dataset(df: DataFrame, path: str, partition_by: Sequence[str] = (), on_repeat: str = "error") -> None:
     """K2: Parquet under ``path/data`` and the manifest as JSON lines under ``path/manifest``.
 
-    Rows with the same stem would overwrite each other as files, so they are
-    refused unless ``on_repeat`` is ``allow``.
+    ``df`` is evaluated once, when the data is written; stems are checked and the
+    manifest is made from what was written, so the two agree even if a model made
+    the rows. A dataset is complete when it has a manifest. Rows with the same stem
+    would overwrite each other as files, so they are refused, and the data deleted
+    again, unless ``on_repeat`` is ``allow``.
     """
-    if on_repeat == "error" and not repeated_stems(df).isEmpty():
-        raise ValueError("several rows have the same stem")
+    spark = df.sparkSession
     df.write.partitionBy(*partition_by).parquet(f"{path}/data")
-    manifest(df).write.json(f"{path}/manifest")
+    rows = spark.read.schema(df.schema).parquet(f"{path}/data")
+    if on_repeat == "error" and not repeated_stems(rows).isEmpty():
+        delete_path(spark, f"{path}/data")
+        raise ValueError("several rows have the same stem")
+    manifest(rows).write.json(f"{path}/manifest")
 
 
 def export_files(df: DataFrame, folder: str) -> None:
-    """K2: write ``<stem>.png`` and, with a caption, ``<stem>.txt`` to a mounted folder, task by task."""
+    """K2: write ``<stem>.png`` and, with a caption, ``<stem>.txt``, task by task.
+
+    ``folder`` is a URI that every executor can open. A plain path is refused
+    outside a local session, where each machine would fill a folder of its own.
+    """
+    if "://" not in folder and not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("name a shared folder by its URI")
 
     def save(rows) -> None:
-        from pathlib import Path
+        from pyarrow import fs
 
-        target = Path(folder)
-        target.mkdir(parents=True, exist_ok=True)
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
         for row in rows:
-            (target / f"{row.stem}.png").write_bytes(row.encoded)
+            with system.open_output_stream(f"{base}/{row.stem}.png") as out:
+                out.write(row.encoded)
             if row.caption:
-                (target / f"{row.stem}.txt").write_text(row.caption, encoding="utf-8")
+                with system.open_output_stream(f"{base}/{row.stem}.txt") as out:
+                    out.write(row.caption.encode())
 
     df.select("stem", "encoded", "caption").foreachPartition(save)
 

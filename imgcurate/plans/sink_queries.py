@@ -48,6 +48,19 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("image_id long, filename string, stem string, caption string").json(f"{path}/manifest")
 
 
+@query(
+    "k2_written_data",
+    f"""WITH {STEMS} SELECT image_id, filename, stem, source, CASE WHEN coalesce(toxic, 0) = 0 THEN text END AS caption
+    FROM stems LEFT JOIN (SELECT doc_id AS image_id, toxic FROM labels) USING (image_id)""",
+)
+def k2_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the dataset, and read the data back."""
+    path = scratch_path(spark, "dataset")
+    sk.write_dataset(_named(spark, sf_dir), path, partition_by=["source"])
+    schema = "image_id long, filename string, caption string, stem string, source string"
+    return spark.read.schema(schema).parquet(f"{path}/data")
+
+
 @query(
     "k2_repeated_stems",
     "SELECT lang || '_' || source AS stem, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",

@@ -50,6 +50,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    jvm = spark.sparkContext._jvm
+    known = jvm.org.apache.hadoop.fs.Path(path)
+    return known.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), known
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, known = file_system(spark, path)
+    return system.exists(known)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, known = file_system(spark, path)
+    system.delete(known, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made."""
     shared_dir(df.sparkSession)

@@ -1,5 +1,7 @@
 """Sources, sinks and streams over real files."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +31,12 @@ def folder(tmp_path_factory):
 
 def test_scan(spark, folder):
     got = {r.filename: (r.width, r.height, r.n_channels) for r in ct.scan_images(spark, f"file:{folder}", 40).drop("data").collect()}
-    assert got == {"p0.png": (60, 40, 3), "p1.png": (90, 80, 3), "p2.png": (70, 100, 4), "p3.png": (64, 64, 1)}
+    assert got == {"p0.png": (60, 40, 3), "p1.png": (90, 80, 3), "p2.png": (70, 100, 3), "p3.png": (64, 64, 3)}
+    raw = {r.path[-6:]: r for r in ct.read_pictures(spark, f"file:{folder}", alpha=True).collect()}
+    colour = {r.path[-6:]: r for r in ct.read_pictures(spark, f"file:{folder}").collect()}
+    assert [raw[p].n_channels for p in ("p2.png", "p3.png")] == [4, 1]
+    assert as_array(colour["p2.png"].data, 100, 70, 3).tolist() == as_array(raw["p2.png"].data, 100, 70, 4)[:, :, :3].tolist()
+    assert bytes(colour["p3.png"].data) == bytes(b for b in raw["p3.png"].data for _ in range(3))
     # The cut counts the corrupt file, which sorts first.
     few = ct.scan_images(spark, f"file:{folder}", 40, max_images=2)
     assert [r.filename for r in few.select("filename").collect()] == ["p0.png"]
@@ -45,6 +52,15 @@ def test_pixels_come_as_written(spark, folder):
     plain = alpha_mask(ct.load_one(spark, f"file:{folder}/p1.png")).first()
     assert set(plain.mask) == {0} and len(plain.mask) == 80 * 90
     assert ct.load_one(spark, f"file:{folder}/p9.png").count() == 0
+    assert ct.load_one(spark, f"file:{folder}/none/p9.png").count() == 0
+    assert ct.scan_images(spark, f"file:{folder}/none").count() == 0
+    assert ct.scan_images(spark, f"file:{folder}/none", max_images=3).count() == 0
+
+
+def test_ids_in_catalog_order(spark, folder):
+    named = ct.with_ids(ct.read_catalog(spark, f"file:{folder}"), "name").collect()
+    assert [r.name for r in sorted(named, key=lambda r: r.image_id)] == sorted(r.name for r in named)
+    assert sorted(r.image_id for r in named) == list(range(len(named)))
 
 
 def test_listing(spark, folder):
@@ -107,6 +123,19 @@ def test_write(spark, folder, tmp_path):
     assert spark.read.json(f"{tmp_path}/set/manifest").filter("caption is not null").count() == 1
     with pytest.raises(ValueError):
         sk.write_dataset(named.withColumn("stem", F.lit("x")), f"{tmp_path}/other")
+    assert not (tmp_path / "other" / "data").exists()
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(name):
+        calls.add(1)
+        return f"caption {random.random()}"
+
+    made = named.drop("caption").withColumn("caption", model.asNondeterministic()("filename"))
+    sk.write_dataset(made, f"{tmp_path}/model")
+    assert calls.value == 4
+    captions = {r.caption for r in spark.read.parquet(f"{tmp_path}/model/data").collect()}
+    assert captions == {r.caption for r in spark.read.json(f"{tmp_path}/model/manifest").collect()}
     sk.export_files(with_png(named), f"{tmp_path}/files")
     files = sorted(p.name for p in (tmp_path / "files").iterdir())
     assert files == ["p0.png", "p0.txt", "p1.png", "p2.png", "p3.png"]
