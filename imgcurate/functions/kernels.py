@@ -9,6 +9,8 @@ from __future__ import annotations
 import struct
 import zlib
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -59,8 +61,9 @@ def pixel_stats(img: np.ndarray) -> tuple[float, float, float]:
     )
 
 
+@lru_cache(maxsize=128)
 def _lanczos_weights(src: int, dst: int) -> np.ndarray:
-    """Matrix (dst, src) of normalised Lanczos-3 weights, widened when shrinking."""
+    """Matrix (dst, src) of normalised Lanczos-3 weights, widened when shrinking. Kept, as sizes recur: not to be written to."""
     scale = src / dst
     widen = max(scale, 1.0)
     centre = (np.arange(dst) + 0.5) * scale
@@ -83,13 +86,18 @@ def resample(img: np.ndarray, width: int, height: int) -> np.ndarray:
     return to_bytes(np.stack(planes, axis=2))
 
 
+@lru_cache(maxsize=8)
+def _cosines(rows: int, size: int) -> np.ndarray:
+    n = np.arange(size)
+    return np.cos(np.pi * np.arange(rows)[:, None] * (2 * n + 1)[None, :] / (2 * size))
+
+
 def phash(img: np.ndarray, hash_size: int = 16) -> list[int]:
     """Signs of the low frequencies of the DCT against their median, as 64-bit words."""
     size = 4 * hash_size
     g = gray_for_hash(img)[:, :, None].astype(np.uint8)
     small = resample(g, size, size)[:, :, 0].astype(np.float64)
-    n = np.arange(size)
-    basis = np.cos(np.pi * np.arange(hash_size)[:, None] * (2 * n + 1)[None, :] / (2 * size))
+    basis = _cosines(hash_size, size)
     low = basis @ small @ basis.T
     bits = np.packbits((low > np.median(low)).ravel(), bitorder="little")
     return [int(word) for word in np.pad(bits, (0, -bits.size % 8)).view("<i8")]

@@ -32,8 +32,8 @@ def parse_model_json(text: Column) -> Column:
     """M7: the JSON object in a text as VARIANT; null if none can be read or it is empty."""
     found = _between(text, "{", "}")
     mended = F.replace(F.replace(found, F.lit(",}"), F.lit("}")), F.lit(",]"), F.lit("]"))
-    value = F.coalesce(strict_json(found), strict_json(mended))
-    return F.when(F.to_json(value) != "{}", value)
+    empty = mended.rlike(r"^\{[ \t\r\n]*\}$")
+    return F.when(~empty, F.coalesce(strict_json(found), strict_json(mended)))
 
 
 def parse_model_json_array(text: Column) -> Column:

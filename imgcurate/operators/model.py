@@ -19,6 +19,7 @@ from imgcurate.functions.parsing import (
 )
 from imgcurate.operators.geometry import fit_within
 from imgcurate.operators.ranking import join_in_order, with_position
+from imgcurate.session import written
 
 Model = Callable[[pd.DataFrame], pd.Series]
 
@@ -96,32 +97,34 @@ def map_model(
 
     The model gets batches of ``inputs`` and returns one text per row. When it
     raises, the batch is tried row by row, so only the rows at fault carry the
-    error. The other columns do not leave the JVM. ``partitions`` sets how many
-    calls may run at a time; without it the table stays where it is.
+    error: it is halved until the rows at fault are alone, so good rows are asked few
+    times. The other columns do not leave the JVM, and nothing is shuffled:
+    ``partitions`` bounds how many calls run at a time by joining partitions.
     """
     names = list(inputs)
 
     def answers(batch: pd.DataFrame) -> pd.DataFrame:
-        try:
-            got = [(a, None) for a in model(batch.reset_index(drop=True))]
-            if len(got) != len(batch):
-                raise ValueError("the model must answer every row")
-        except Exception:
-            got = []
-            for i in range(len(batch)):
-                try:
-                    got.append((model(batch.iloc[[i]].reset_index(drop=True)).iloc[0], None))
-                except Exception as e:
-                    got.append((None, str(e)))
+        def ask(part: pd.DataFrame) -> list:
+            try:
+                got = [(a, None) for a in model(part.reset_index(drop=True))]
+                if len(got) != len(part):
+                    raise ValueError("the model must answer every row")
+                return got
+            except Exception as e:
+                if len(part) == 1:
+                    return [(None, str(e))]
+                half = len(part) // 2
+                return ask(part.iloc[:half]) + ask(part.iloc[half:])
+
         rows = [
             (None, error or "No response received") if answer is None or error else (str(answer), None)
-            for answer, error in got
+            for answer, error in (ask(batch) if len(batch) else [])
         ]
         return pd.DataFrame(rows, columns=["response", "error"], dtype="object")
 
     # Nondeterministic: the optimizer must not run a model twice or move it.
     call = F.pandas_udf(lambda batch: answers(batch), "response string, error string").asNondeterministic()
-    spread = df if partitions is None else df.repartition(partitions)
+    spread = df if partitions is None else df.coalesce(partitions)
     return (
         spread.withColumn("_answer", call(F.struct(*names)))
         .withColumns({out: F.col("_answer.response"), "error": F.col("_answer.error")})
@@ -337,5 +340,6 @@ def finish_caption(
 
 
 def error_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The good rows and the failed ones."""
+    """The good rows and the failed ones. The rows are written first, so no model answers twice."""
+    df = written(df, "answers")
     return df.filter("error is null"), df.filter("error is not null")

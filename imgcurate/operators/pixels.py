@@ -87,6 +87,8 @@ def _edited(picture, row):
     return picture
 
 
+OUTPUT_BYTES = 64 << 20
+
 _GEOMETRY = ("scaled_w", "scaled_h", "offset_x", "offset_y", "out_w", "out_h")
 _FACTORS = ("brightness", "contrast", "unsharp_percent", "soften")
 
@@ -120,16 +122,18 @@ def apply_pixels(pixels: DataFrame, geometry: DataFrame | None = None) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [_edited(p, row) for p, row in zip(_pictures(batch), batch.itertuples(index=False))]
-            yield pd.DataFrame(
-                {
-                    "image_id": batch["image_id"],
-                    "height": [m.shape[0] for m in made],
-                    "width": [m.shape[1] for m in made],
-                    "n_channels": batch["n_channels"],
-                    "data": [m.tobytes() for m in made],
-                }
-            )
+            made, size = [], 0
+            for p, row in zip(_pictures(batch), batch.itertuples(index=False)):
+                picture = _edited(p, row)
+                made.append((row.image_id, picture.shape[0], picture.shape[1], row.n_channels, picture.tobytes()))
+                size += picture.nbytes
+                # Pictures may grow, so what is handed on is bounded by what comes out.
+                if size >= OUTPUT_BYTES:
+                    yield pd.DataFrame(made, columns=names)
+                    made, size = [], 0
+            yield pd.DataFrame(made, columns=names)
+
+    names = ["image_id", "height", "width", "n_channels", "data"]
 
     return plan.mapInPandas(run, "image_id long, height int, width int, n_channels int, data binary")
 
