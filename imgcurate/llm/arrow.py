@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,10 +42,21 @@ def map_slices(
                 made = step(part)
                 if made.num_rows:
                     yield made
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Free memory goes back to the machine at the end of a task, as idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def added(df: DataFrame, *fields: tuple[str, T.DataType], dropped: tuple[str, ...] = ()) -> T.StructType:
     """The schema of ``df`` without ``dropped``, then ``fields``, which replace columns of their names."""
     names = {n for n, _ in fields} | set(dropped)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from imgcurate.session import written
 
-from .arrow import slices, text_bytes
+from .arrow import give_back, slices, text_bytes
 from .hashing import hashes, mix, spans
 from .keys import KEY, document_key
 from .registry import query, table
@@ -192,6 +192,7 @@ def document_hits(docs: DataFrame, masks: list[str], bits: np.ndarray) -> DataFr
                     ],
                     names=[*KEY, "doc_id", "tokens", "hits"],
                 )
+        give_back()
 
     schema = "id long, tie long, doc_id long, tokens binary, hits array<struct<seed: long, place: int>>"
     return docs.select(*KEY, "doc_id", "text").mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from imgcurate.session import written
 
-from .arrow import slices, text_bytes
+from .arrow import give_back, slices, text_bytes
 from .hashing import hashes, mix, prefix_sums, spans
 from .keys import KEY, document_key
 from .registry import query, table
@@ -120,6 +120,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                     ],
                     names=schema.fieldNames(),
                 )
+        give_back()
 
     return docs.select(*document_key(), "text").mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from imgcurate.session import written
 
-from .arrow import slices, text_bytes
+from .arrow import give_back, slices, text_bytes
 from .components import components
 from .groups import blocked, linked, runs_of
 from .hashing import hashes, mix, shingles, spans
@@ -61,6 +61,7 @@ def shingle_counters(docs: DataFrame, size: int, log2: int = COUNTERS_LOG2) -> n
             for part in slices(batch, "text"):
                 value, _ = hashed_sets(part, size)
                 held += np.bincount((value >> np.uint64(64 - log2)).astype(np.int64), minlength=len(held))
+        give_back()
         parts = [held[a : a + width] for a in range(0, len(held), width)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], names=["part", "counts"]
@@ -111,7 +112,7 @@ def document_sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int)
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     own = np.unique(keys[a:b])
                     n = len(own)
-                    key = int(mix(mix(own).sum(dtype=np.uint64) + np.uint64(n)).view(np.int64)) if n else None
+                    key = int(mix(mix(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]) if n else None
                     ids.append(key)
                     sizes.append(n)
                     new = n > 0 and key not in told
@@ -131,6 +132,7 @@ def document_sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int)
                     ],
                     names=["doc_id", "id", "tie", "set_id", "n", "map", "prefix"],
                 )
+        give_back()
 
     return docs.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, id long, tie long, set_id long, n long, map binary, prefix binary")
 

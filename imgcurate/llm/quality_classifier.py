@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import give_back, slices
 from .hashing import mix
 from .registry import held_out, query, table
 from .sample import labelled_sample
@@ -198,6 +198,8 @@ def with_score(df: DataFrame, odds: np.ndarray, shape: Shape = Shape(), text: st
             parts = slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text", 1 << 20)
             made = [scorer.score([t or "" for t in part.column("text").to_pylist()]) for part in parts]
             yield pa.array(np.concatenate([np.zeros(0), *made]))
+        del scorer
+        give_back()
 
     return df.withColumn(out, score(F.col(text)))
 

@@ -79,9 +79,13 @@ class ChunkTable:
         return [begin + b"".join(map(of, chunks)) + end for chunks in cut]
 
 
-@lru_cache(maxsize=2)
-def _table(path: str) -> ChunkTable:
-    return ChunkTable(path)
+def _pack(number: int) -> bytes:
+    return np.array([number], "<u4").tobytes() if number >= 0 else b""
+
+
+def _ends(processor) -> tuple[bytes, bytes]:
+    """The begin and end ids, as far as the model has them."""
+    return _pack(processor.bos_id()), _pack(processor.eos_id())
 
 
 def encode(
@@ -98,9 +102,8 @@ def encode(
     names = schema.fieldNames()
 
     def make():
-        held = _table(model)
-        pack = lambda i: np.array([i], "<u4").tobytes() if begin_end and i >= 0 else b""
-        begin, end = pack(held.processor.bos_id()), pack(held.processor.eos_id())
+        held = ChunkTable(model)
+        begin, end = _ends(held.processor) if begin_end else (b"", b"")
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in part.column(text).to_pylist()]
@@ -111,6 +114,10 @@ def encode(
     return map_slices(df, make, schema, text, SLICE)
 
 
+def _decoded(processor, packed: list[bytes | None]) -> list[str | None]:
+    return [None if b is None else processor.decode(np.frombuffer(b, "<u4").tolist()) for b in packed]
+
+
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """``df`` with ``out``: the text that the library decodes from ``ids``; a null binary gives null."""
     schema = added(df, (out, T.StringType()), dropped=() if keep_ids else (ids,))
@@ -120,9 +127,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", ke
         processor = _processor(model)
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            packed = part.column(ids).to_pylist()
-            made = [None if b is None else processor.decode(np.frombuffer(b, "<u4").tolist()) for b in packed]
-            return with_arrays(part, names, **{out: pa.array(made, pa.string())})
+            return with_arrays(part, names, **{out: pa.array(_decoded(processor, part.column(ids).to_pylist()), pa.string())})
 
         return step
 
@@ -130,13 +135,30 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded", ke
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Digests of the ids and of the text decoded from them, for each row of ``docs``."""
-    coded = encode(docs.select("doc_id", "text"), model, keep_text=False)
-    coded = coded.select(
-        "doc_id", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
-    )
-    return decode(coded, model, keep_ids=False).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    """Digests of the ids and of the text decoded from them, for each row of ``docs``.
+
+    Encodes and decodes as ``encode`` and ``decode`` do, in one worker a task.
+    """
+    rows = docs.select("doc_id", "text")
+    schema = added(rows, ("ids", T.BinaryType()), ("decoded", T.StringType()), dropped=("text",))
+    names = schema.fieldNames()
+
+    def make():
+        held = ChunkTable(model)
+        begin, end = _ends(held.processor)
+
+        def step(part: pa.RecordBatch) -> pa.RecordBatch:
+            ids = held.encode([t or "" for t in part.column("text").to_pylist()], begin, end)
+            decoded = pa.array(_decoded(held.processor, ids), pa.string())
+            return with_arrays(part, names, ids=pa.array(ids, pa.binary()), decoded=decoded)
+
+        return step
+
+    return map_slices(rows, make, schema, "text", SLICE).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
