@@ -61,6 +61,8 @@ def test_ids_in_catalog_order(spark, folder):
     named = ct.with_ids(ct.read_catalog(spark, f"file:{folder}"), "name").collect()
     assert [r.name for r in sorted(named, key=lambda r: r.image_id)] == sorted(r.name for r in named)
     assert sorted(r.image_id for r in named) == list(range(len(named)))
+    ids = ct.with_ids(ct.read_catalog(spark, f"file:{folder}"), "size").select("path", "image_id")
+    assert ct.scan_images(spark, f"file:{folder}", 40).join(ids, "path").count() == 4
 
 
 def test_listing(spark, folder):
