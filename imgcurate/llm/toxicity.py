@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples, by exact TF-IDF cosine.
 
-Terms are words and beginnings of words that examples of the two labels differ in. Weights are
-term frequency times inverse frequency over all documents. Labelled examples, a bounded
-sample, lie in an inverted index whose posting lists are cut into blocks of examples. The
-largest weight of a term in a block bounds what any example there can reach, so blocks are
-visited from the most promising one until none left can hold a near enough example. The
-result is exact. Near examples vote, weighted by cosine and by how rarely their label was
+Terms are all words of the labelled examples, besides beginnings and repetitions of words that
+the two labels differ in. Weights are term frequency times inverse frequency over all documents,
+times the term's strength: the root of the log-likelihood ratio of its counts under the two
+labels, in either direction, so that rare words that only one label has count and common ones
+hardly do. The examples, a bounded sample, lie in an inverted index whose posting lists are cut
+into blocks of examples. The largest weight of a term in a block bounds what any example there
+can reach, so only blocks that can hold a near enough example are visited. The result is exact. Near examples vote, weighted by cosine and by how rarely their label was
 sampled; votes are calibrated on the examples themselves, each judged by the others, and
 those with most weight are given as evidence.
 """
@@ -37,9 +38,13 @@ BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7)
 #: A term that is in a text so often is a term of its own besides: once may be chance.
 LEVELS = (2, 3, 5)
-#: A term must be in so many toxic examples, and its log odds so many standard errors above none.
+#: A beginning or repetition must be in so many examples, and its log-likelihood ratio must be so large (once in 1,000 by chance). Words need not.
 LEAST = 5
-SIGNIFICANT = 4.0
+SIGNIFICANT = 10.83
+#: The strength of a word that both labels have alike, above 0 so that it counts as well.
+WEAKEST = 0.1
+#: So many blocks are visited first; their nearest examples rule out others.
+FIRST_BLOCKS = 4
 TABLE_WORDS = 300_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -59,24 +64,37 @@ class TermTable:
 
     def __init__(self, vocabulary: dict[str, int], most: int = TABLE_WORDS):
         self.vocabulary, self.most, self.held = vocabulary, most, {}
-        self.bases = {t.partition("@")[0] for t in vocabulary}
+        # Terms that count only by repetition have numbers behind those of the vocabulary.
+        self.bases: dict[str, int] = {}
+        repeated: list[tuple[int, int, int]] = []
+        for t, number in vocabulary.items():
+            base, _, level = t.partition("@")
+            if level:
+                own = vocabulary.get(base)
+                own = self.bases.setdefault(base, len(vocabulary) + len(self.bases)) if own is None else own
+                repeated.append((own, int(level), number))
+        self.levels: dict[int, list[tuple[int, int]]] = {}
+        for base, level, number in repeated:
+            self.levels.setdefault(base, []).append((level, number))
+
+    def _numbers(self, word: str) -> tuple[int, ...]:
+        found = [self.vocabulary.get(t, self.bases.get(t)) for t in terms_of(word)]
+        return tuple(n for n in found if n is not None)
 
     def counts(self, text: str) -> dict[int, int]:
-        words = WORD.findall(text.lower())
-        missing = [w for w in set(words) if w not in self.held]
+        words = Counter(WORD.findall(text.lower()))
+        missing = [w for w in words if w not in self.held]
         if len(self.held) + len(missing) > self.most:
-            self.held, missing = {}, list(set(words))
+            self.held, missing = {}, list(words)
         for w in missing:
-            self.held[w] = tuple(t for t in terms_of(w) if t in self.bases)
-        seen: Counter = Counter()
-        for terms in filter(None, map(self.held.__getitem__, words)):
-            seen.update(terms)
-        out = {}
-        for t, n in seen.items():
-            for level in (1, *LEVELS):
-                number = self.vocabulary.get(leveled(t, level)) if n >= level else None
-                if number is not None:
-                    out[number] = n if level == 1 else 1
+            self.held[w] = self._numbers(w)
+        seen: dict[int, int] = {}
+        for w, n in words.items():
+            for t in self.held[w]:
+                seen[t] = seen.get(t, 0) + n
+        out = {t: n for t, n in seen.items() if t < len(self.vocabulary)}
+        for t in self.levels.keys() & seen.keys():
+            out.update((number, 1) for level, number in self.levels[t] if seen[t] >= level)
         return out
 
 
@@ -88,6 +106,12 @@ class Example:
     counts: tuple[int, ...]
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 class BlockMaxIndex:
     """Distinct unit vectors in blocks. Equal ones are kept once, with all the examples they stand for."""
 
@@ -96,58 +120,71 @@ class BlockMaxIndex:
         groups: dict[tuple, list[Example]] = {}
         for e in examples:
             if e.terms:
-                groups.setdefault((e.terms, e.counts), []).append(e)
+                groups.setdefault((e.terms, e.counts), []).append(Example(e.doc_id, e.label, (), ()))
         # Like vectors lie together, which makes the bounds of blocks tight.
         keys = sorted(groups, key=lambda k: (k[0][int(np.argmax(self.weigh(*k)))], k))
         self.groups = [sorted(groups[k], key=lambda e: e.doc_id) for k in keys]
-        self.block = block
-        blocks = -(-len(keys) // block)
-        self.top = np.zeros((len(idf), blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for i, key in enumerate(keys):
-            for t, w in zip(key[0], self.weigh(*key), strict=True):
-                postings[t].append((i, w))
-                self.top[t, i // block] = max(self.top[t, i // block], w)
-        self.rows = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.starts = [np.searchsorted(r, np.arange(blocks + 1) * block) for r in self.rows]
+        self.sizes = np.array([len(g) for g in self.groups], np.int64)
+        self.of: dict[int, list[int]] = {}
+        for i, g in enumerate(self.groups):
+            for e in g:
+                self.of.setdefault(e.doc_id, []).append(i)
+        self.block, self.blocks = block, -(-len(keys) // block)
+        terms = np.concatenate([np.zeros(0, np.int64), *(np.array(k[0]) for k in keys)])
+        rows = np.repeat(np.arange(len(keys)), [len(k[0]) for k in keys])
+        weights = np.concatenate([np.zeros(0), *(self.weigh(*k) for k in keys)])
+        order = np.lexsort((rows, terms))
+        terms, self.rows, self.weights = terms[order], rows[order].astype(np.int32), weights[order]
+        # Parts of posting lists: those of one term lie together, by block.
+        part = terms * max(1, self.blocks) + self.rows // block
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        self.part_block = (self.rows[first] // block).astype(np.int32)
+        self.part_start = np.append(first, len(terms))
+        self.part_top = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.term_part = np.searchsorted(terms[first], np.arange(len(idf) + 1))
 
     def weigh(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, float))) * self.idf[list(terms)]
+        w = (1 + np.log(np.array(counts, float))) * self.idf[np.array(terms, np.int64)]
         return w / np.sqrt((w * w).sum())
 
+    def _visit(self, parts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What parts of posting lists add to the cosine of every group."""
+        starts, ends = self.part_start[parts], self.part_start[parts + 1]
+        at = _ranges(starts, ends)
+        return np.bincount(self.rows[at], np.repeat(weights, ends - starts) * self.weights[at], len(self.groups))
+
+    def _floor(self, scores: np.ndarray, own: np.ndarray, k: int) -> float:
+        """The cosine of the ``k``-th nearest example, 0 if fewer have one above 0."""
+        # All but one group hold an example that counts, so k + 1 of them are enough.
+        least = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else 0.0
+        some = np.flatnonzero((scores >= least) & (scores > 0))
+        some = some[np.argsort(-scores[some], kind="stable")]
+        reached = np.flatnonzero(np.cumsum(own[some]) >= k)
+        return float(scores[some[reached[0]]]) if len(reached) else 0.0
+
     def nearest(self, terms: tuple[int, ...], counts: tuple[int, ...], k: int = NEAREST, but: int | None = None) -> list[tuple[float, list[Example]]]:
         """Groups of equal examples by falling cosine until they are ``k`` examples, with all ties of the last; cosines are above 0."""
-        weights = self.weigh(terms, counts)
-        bounds = weights @ self.top[list(terms)]
-        best: list[tuple[float, int]] = []
-        floor = 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                a, z = self.starts[t][b], self.starts[t][b + 1]
-                scores[self.rows[t][a:z] - b * self.block] += w * self.weights[t][a:z]
-            for i in np.flatnonzero(scores > max(0.0, floor - 1e-9)):
-                best.append((float(scores[i]), int(b) * self.block + int(i)))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            held = 0
-            for at, (score, g) in enumerate(best):
-                held += sum(e.doc_id != but for e in self.groups[g])
-                if held >= k:
-                    floor = score
-                    best = [x for x in best if x[0] >= floor - 1e-9] if at else best
-                    break
-        out, held = [], 0
-        for score, g in best:
-            if held >= k and score < floor - 1e-9:
-                break
-            own = [e for e in self.groups[g] if e.doc_id != but]
-            if own:
-                out.append((score, own))
-                held += len(own)
-        return out
+        if not self.groups:
+            return []
+        weights, numbers = self.weigh(terms, counts), np.array(terms, np.int64)
+        first, last = self.term_part[numbers], self.term_part[numbers + 1]
+        parts, weights = _ranges(first, last), np.repeat(weights, last - first)
+        block = self.part_block[parts]
+        bounds = np.bincount(block, weights * self.part_top[parts], self.blocks)
+        own = self.sizes
+        if but in self.of:
+            own = own.copy()
+            own[self.of[but]] -= 1
+        best = np.argsort(-bounds, kind="stable")
+        now = np.zeros(self.blocks, bool)
+        now[best[:FIRST_BLOCKS]] = True
+        scores = self._visit(parts[now[block]], weights[now[block]])
+        rest = ~now & (bounds > 0) & (bounds >= self._floor(scores, own, k) - 1e-9)
+        if rest.any():
+            scores += self._visit(parts[rest[block]], weights[rest[block]])
+        some = np.flatnonzero((scores > 0) & (scores >= self._floor(scores, own, k) - 1e-9) & (own > 0))
+        some = some[np.lexsort((some, -scores[some]))]
+        return [(float(scores[g]), [e for e in self.groups[g] if e.doc_id != but]) for g in some]
 
 
 def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +256,19 @@ def _distinct(sample: DataFrame) -> DataFrame:
     return written(rows.select("doc_id", "label", "text"), "examples")
 
 
-def vocabulary_of(sample: DataFrame) -> dict[str, int]:
-    """The telling terms of a bounded sample, numbered in order."""
+def strength(p: np.ndarray, q: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """The log-likelihood ratio of terms that are in ``p`` of the toxic and ``q`` of the clean examples, that the two rates differ."""
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+    p, q, n = p.astype(float), q.astype(float), max(1, toxic + clean)
+    has, lacks = (p + q) / n, (toxic + clean - p - q) / n
+    return np.maximum(0.0, 2 * (part(p, has * toxic) + part(q, has * clean) + part(toxic - p, lacks * toxic) + part(clean - q, lacks * clean)))
+
+
+def vocabulary_of(sample: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """The terms of a bounded sample, numbered in order, and what each weighs: all words, and beginnings and repetitions that tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,13 +282,14 @@ def vocabulary_of(sample: DataFrame) -> dict[str, int]:
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(terms, pa.list_(pa.string()))], names=["label", "terms"])
 
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    half = 0.5
     seen = sample.select("label", "text").mapInArrow(run, "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
-    counts = seen.groupBy("term").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).where(F.col("p") >= LEAST)
-    cells = [F.col("p") + half, F.lit(size.toxic + half) - F.col("p"), F.col("q") + half, F.lit(size.n - size.toxic + half) - F.col("q")]
-    error = F.sqrt(sum(1 / c for c in cells))
-    odds = F.log(cells[0] * cells[3] / (cells[1] * cells[2]))
-    return {r.term: i for i, r in enumerate(counts.where(odds >= SIGNIFICANT * error).select("term").orderBy("term").collect())}
+    counts = seen.groupBy("term").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    word = ~F.col("term").rlike("[*@]")
+    found = counts.where(word | (F.col("p") + F.col("q") >= LEAST)).orderBy("term").toArrow()  # of a bounded sample
+    ratio = strength(found["p"].to_numpy(), found["q"].to_numpy(), size.toxic, size.n - size.toxic)
+    kept = [k for k, t in enumerate(found["term"].to_pylist()) if ratio[k] >= SIGNIFICANT or not ("*" in t or "@" in t)]
+    terms = found["term"].take(pa.array(kept, pa.int64())).to_pylist()
+    return {t: i for i, t in enumerate(terms)}, np.maximum(np.sqrt(ratio[kept]), WEAKEST)
 
 
 def with_terms(df: DataFrame, vocabulary: dict[str, int], text: str = "text") -> DataFrame:
@@ -267,17 +316,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     """``(doc_id, held_out, score, predicted, evidence)`` for each row of ``docs``.
 
     ``score`` is the probability of label 1, ``evidence`` the nearest examples with their
-    cosines and labels. A text without telling terms, as a null or empty one, has the rate of
-    such examples and no evidence. Rows are independent, so repeated ones are scored alike;
+    cosines and labels. A text without any word of the examples, as a null or empty one, has the
+    rate of such examples and no evidence. Rows are independent, so repeated ones are scored alike;
     null ids pass and are not held out. Without labels every score is 0.5; an empty table gives
     an empty one. Other columns play no part.
     """
     sample = _distinct(labelled_sample(docs, labels, "toxic", per_class))
-    vocabulary = vocabulary_of(sample)
+    vocabulary, strengths = vocabulary_of(sample)
     rows = written(with_terms(docs.select("doc_id", "text"), vocabulary), "terms")
     size = rows.count()
-    df = {r.term: r["count"] for r in rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}  # one a term
-    idf = np.array([np.log((1 + size) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    found = rows.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # one row a term
+    df = np.zeros(len(vocabulary))
+    df[found["term"].to_numpy()] = found["count"].to_numpy()
+    idf = (np.log((1 + size) / (1 + df)) + 1) * strengths
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     counted = {r.label: r["count"] for r in known.groupBy("doc_id").agg(F.max("toxic").alias("label")).groupBy("label").count().collect()}
     examples = [
@@ -287,16 +338,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     voter = docs.sparkSession.sparkContext.broadcast(Voter(examples, idf, (counted.get(0, 0), counted.get(1, 0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
         for batch in batches:
-            found = []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (tuple(terms), tuple(counts))
-                if key not in held:
-                    if len(held) > 50_000:
-                        held.clear()
-                    held[key] = voter.value.score(*key)
-                found.append(held[key])
+            found = [voter.value.score(tuple(t), tuple(n)) for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)], names=["doc_id", "score", "evidence"])
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from imgcurate.llm.toxicity import BlockMaxIndex, Example, TermTable, Voter, rising, score_toxicity, terms_of
+from imgcurate.llm.toxicity import BlockMaxIndex, Example, TermTable, Voter, rising, score_toxicity, strength, terms_of
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -82,3 +82,27 @@ def test_edges(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in score_toxicity(docs, labels.limit(0)).collect()} == {0.5}
     assert score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_rare_words_tell(spark):
+    """Toxic texts each with words of their own, in a few examples only, and clean ones: each has its nearest examples."""
+    rng = random.Random(5)
+    words = [f"plain{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        text = [rng.choice(words) for _ in range(12)] + ([f"slur{i % 40}"] * 2 if toxic else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    out = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = [r for r in out.collect() if r.held_out]
+    assert len(got) > 100 and all(len(r.evidence) == 10 for r in got)
+    assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in got]) > 0.95
+
+
+def test_strength_of_terms():
+    p, q = np.array([16, 1, 0, 5, 352]), np.array([0, 0, 20, 28, 2000])
+    got = strength(p, q, 352, 2000)
+    assert abs(got[0] - 2 * (16 * np.log(2352 / 352) + 336 * np.log(336 / (2336 * 352 / 2352)) + 2000 * np.log(2352 / 2336))) < 1e-9
+    assert got[0] > got[2] > got[3] and got[1] > 3 and got[4] == 0
