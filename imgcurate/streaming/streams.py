@@ -49,10 +49,12 @@ def assemble_fragments_stream(chunks: DataFrame, table: str) -> DataStreamWriter
     """M5: responses as requests end, whatever the pauses between their fragments.
 
     ``chunks(request_id, seq, fragment, done)``. Fragments are kept in
-    ``table/fragments``. A batch that brings the end of requests writes their
-    responses to ``table/responses``; fragments behind the first ``done`` are cut
-    off. Every batch writes folders of its own, so it may run again. What has not
-    ended is given by ``open_requests``.
+    ``table/fragments``. A batch that brings fragments of requests that have ended,
+    by then or before, writes their responses to ``table/responses`` under its number,
+    and ``responses`` reads the newest; fragments behind the first ``done`` are cut
+    off, and if these are all that a batch brings, the response stays as it is.
+    Every batch writes folders of its own, so it may run again. What has not ended
+    is given by ``open_requests``.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -61,18 +63,20 @@ def assemble_fragments_stream(chunks: DataFrame, table: str) -> DataStreamWriter
             f"{table}/fragments/batch={number}"
         )
         known = _stored(spark, f"{table}/fragments", FRAGMENTS).filter(F.col("batch") <= number)
-        ended = known.filter((F.col("batch") == number) & F.col("done")).select("request_id").distinct()
-        told = _stored(spark, f"{table}/responses", RESPONSES).filter(F.col("batch") < number)
-        fresh = ended.join(told, "request_id", "left_anti")
-        response = assemble_stream(known.drop("batch").join(fresh, "request_id", "left_semi"))
+        new = known.filter(F.col("batch") == number).groupBy("request_id").agg(F.min("seq").alias("_first"))
+        ends = known.filter("done").join(new, "request_id", "left_semi").groupBy("request_id").agg(F.min("seq").alias("_end"))
+        touched = new.join(ends, "request_id").filter("_end is null or _first <= _end").select("request_id")
+        response = assemble_stream(known.drop("batch").join(touched, "request_id", "left_semi"))
         response.write.mode("overwrite").parquet(f"{table}/responses/batch={number}")
 
     return chunks.writeStream.foreachBatch(merge)
 
 
 def responses(spark: SparkSession, table: str) -> DataFrame:
-    """M5: ``(request_id, response)`` of the requests that have ended."""
-    return _stored(spark, f"{table}/responses", RESPONSES).drop("batch")
+    """M5: ``(request_id, response)`` of the requests that have ended, with all fragments that have come."""
+    known = _stored(spark, f"{table}/responses", RESPONSES)
+    last = known.groupBy("request_id").agg(F.max("batch").alias("batch"))
+    return known.join(last, ["request_id", "batch"]).select("request_id", "response")
 
 
 def open_requests(spark: SparkSession, table: str) -> DataFrame:

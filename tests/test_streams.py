@@ -36,6 +36,21 @@ def test_fragments_with_long_pauses(spark, tmp_path):
     assert [tuple(r) for r in st.open_requests(spark, table).select("request_id", "response").collect()] == [(7, whole(7, 2))]
 
 
+def test_fragments_after_the_end(spark, tmp_path):
+    """Fragments come in any order, also before and at the end in batches after the one that brought it."""
+    rng = random.Random(4)
+    ends = {r: (3 + r % 3, 6) for r in range(12)}  # a second end comes behind the first, or before it in time
+    rows = [(r, s, f"{r}.{s} ", s in ends[r]) for r in ends for s in range(8)]
+    rng.shuffle(rows)
+    rows = [x for x in rows if x[3]] + [x for x in rows if not x[3]]
+    table = str(tmp_path / "requests")
+    stream = batches(spark, tmp_path, rows, "request_id long, seq long, fragment string, done boolean", 5)
+    drain(st.assemble_fragments_stream(stream, table), tmp_path)
+    got = sorted(tuple(r) for r in st.responses(spark, table).collect())
+    assert got == [(r, "".join(f"{r}.{s} " for s in range(ends[r][0] + 1))) for r in ends]
+    assert st.open_requests(spark, table).count() == 0
+
+
 def test_late_frames_join_their_cluster(spark, tmp_path):
     rng = random.Random(2)
     times = {v: sorted({rng.randint(0, 4_000) for _ in range(200)}) for v in ("a", "b")}
