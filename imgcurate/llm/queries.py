@@ -4,7 +4,19 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("toxicity", "warc_zip", "secret_scan", "html_extraction", "learned_partitions", "decontamination", "ngram_join", "line_dedup", "quality_classifier", "sentencepiece_codec")
+MODULES = (
+    "warc_zip",
+    "sentencepiece_codec",
+    "secret_scan",
+    "toxicity",
+    "quality_classifier",
+    "learned_partitions",
+    "html_extraction",
+    "decontamination",
+    "ngram_join",
+    "line_dedup",
+    "streaming_dedup",
+)
 
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
