@@ -101,13 +101,13 @@ def token_counts(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(run, "n int")
 
 
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A Bloom filter of the seeds, ``2**FILTER_LOG2_MOST`` bits at most. Tasks send parts of 4 KB with set bits only.
+def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS, log2_most: int = FILTER_LOG2_MOST) -> np.ndarray:
+    """A Bloom filter of the seeds, ``2**log2_most`` bits at most. Tasks send parts of 4 KB with set bits only.
 
     With more seeds than fit it lets more through, which the join then sorts out.
     """
     n = max(1, seeds.count())
-    log2 = min(FILTER_LOG2_MOST, max(16, (FILTER_BITS * n - 1).bit_length()))
+    log2 = min(log2_most, max(16, (bits * n - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}

@@ -15,6 +15,7 @@ MODULES = (
     "decontamination",
     "ngram_join",
     "line_dedup",
+    "phrase_mining",
     "streaming_dedup",
 )
 
