@@ -34,8 +34,11 @@ from .salted import salted_lookup
 
 ROWS = "doc_id long, text string"
 ENTRY = "doc_id long, digest string, path string, row long"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no room is set aside in advance, as that takes megabytes a partition however small.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of files that a batch takes in, and hex digits of a digest that are the key of the state.
 BATCH_BYTES = 64 << 30
 DIGITS = 64
@@ -112,13 +115,15 @@ class StreamingDedup:
                 F.max("seq").alias("last_seq"),
             )
         )
-        before = self.spark.conf.get(PROVIDER)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
+        before = {name: self.spark.conf.get(name, None) for name in STATE}
+        for name, value in STATE.items():
+            self.spark.conf.set(name, value)
         try:
             run = state.writeStream.outputMode("update").foreachBatch(self._touched).option("checkpointLocation", f"{self.store}/state")
             run.trigger(availableNow=True).start().awaitTermination()
         finally:
-            self.spark.conf.set(PROVIDER, before)
+            for name, value in before.items():
+                self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)
 
     def _touched(self, batch: DataFrame, number: int) -> None:
         """Write the state of the digests of a batch, and check the bytes of hits."""
