@@ -16,6 +16,7 @@ MODULES = (
     "ngram_join",
     "line_dedup",
     "phrase_mining",
+    "prefix_trie",
     "streaming_dedup",
 )
 
