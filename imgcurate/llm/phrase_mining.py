@@ -22,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imgcurate.operators.ranking import with_position
 from imgcurate.session import written
 
 from .arrow import give_back, slices, text_bytes
@@ -242,9 +243,8 @@ def mined_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WO
 
 def top_phrases(phrases: DataFrame, top: int = TOP) -> DataFrame:
     """``phrases`` with ``rank``: the first ``top`` of each language by score, count and phrase."""
-    # Spark cuts each task's rows of a language to the first ones before they meet.
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    return phrases.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
+    placed = with_position(phrases, [F.col("score").desc(), F.col("a").desc(), "phrase"], ["lang"], position="rank", total="_of")
+    return placed.where(F.col("rank") < top).withColumn("rank", F.col("rank") + 1).drop("_of")
 
 
 @query(
