@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,28 +51,59 @@ def write_dataset(df: DataFrame, path: str, partition_by: Sequence[str] = (), on
     manifest(rows).write.json(f"{path}/manifest")
 
 
+def _opened(folder: str):
+    """The file system of a URI or plain path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 def export_files(df: DataFrame, folder: str) -> None:
     """K2: write ``<stem>.png`` and, with a caption, ``<stem>.txt``, task by task.
 
+    Each attempt of a task writes to a folder of its own below ``folder/_attempts``, which readers
+    pass over. When all tasks are done, the files of those that succeeded are moved into place,
+    again by tasks, and what failed attempts have left is deleted; so a retried or doubled task
+    leaves neither half files nor foreign ones. A folder without ``_attempts`` is complete. Files
+    of the same name are replaced.
+
     ``folder`` is a URI that every executor can open. A plain path is refused
     outside a local session, where each machine would fill a folder of its own.
     """
-    if "://" not in folder and not df.sparkSession.sparkContext.master.startswith("local"):
+    spark = df.sparkSession
+    if "://" not in folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("name a shared folder by its URI")
-
-    def save(rows) -> None:
+    run = f"_attempts/{uuid.uuid4().hex}"
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _opened(folder)
+        attempt = uuid.uuid4().hex
+        system.create_dir(f"{base}/{run}/{attempt}", recursive=True)
+        for rows in batches:
+            for stem, encoded, caption in zip(rows["stem"], rows["encoded"], rows["caption"]):
+                with system.open_output_stream(f"{base}/{run}/{attempt}/{stem}.png") as out:
+                    out.write(encoded)
+                if caption:
+                    with system.open_output_stream(f"{base}/{run}/{attempt}/{stem}.txt") as out:
+                        out.write(caption.encode())
+        yield pd.DataFrame({"attempt": [attempt]})
+
+    def publish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        system.create_dir(base, recursive=True)
-        for row in rows:
-            with system.open_output_stream(f"{base}/{row.stem}.png") as out:
-                out.write(row.encoded)
-            if row.caption:
-                with system.open_output_stream(f"{base}/{row.stem}.txt") as out:
-                    out.write(row.caption.encode())
-
-    df.select("stem", "encoded", "caption").foreachPartition(save)
+        system, base = _opened(folder)
+        for rows in batches:
+            for attempt in rows["attempt"]:
+                # An attempt of this task that broke off has moved some of them already.
+                for file in system.get_file_info(fs.FileSelector(f"{base}/{run}/{attempt}")):
+                    system.move(file.path, f"{base}/{file.base_name}")
+            yield rows
+
+    # One row a task comes to the driver, and only of attempts that Spark has accepted.
+    done = df.select("stem", "encoded", "caption").mapInPandas(save, "attempt string").collect()
+    if done:
+        spark.createDataFrame(done, "attempt string").repartition(len(done)).mapInPandas(publish, "attempt string").count()
+    delete_path(spark, f"{folder}/_attempts")
 
 
 def write_split(df: DataFrame, path: str, decision: Column, names: tuple[str, str] = ("kept", "rejected")) -> None:

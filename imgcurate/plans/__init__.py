@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("frame_queries", "catalog_queries", "picture_queries", "model_queries", "sink_queries", "stream_queries", "curation")
+_MODULES = ("frame_queries", "catalog_queries", "file_queries", "picture_queries", "model_queries", "sink_queries", "stream_queries", "curation")
 
 
 def registered():

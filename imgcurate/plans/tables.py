@@ -115,17 +115,17 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
 
 
-def pictures(spark: SparkSession, sf_dir: str, repeat: int = 1) -> DataFrame:
+def pictures(spark: SparkSession, sf_dir: str, repeat: int = 1, channels: int = 3) -> DataFrame:
     """Colour pictures of 8 by 8 blocks, a block per number of the embedding.
 
-    A block is ``repeat`` pixels wide and high. Green and red are the levels of the
-    next block and the one after it.
+    A block is ``repeat`` pixels wide and high. Green, red and, with four channels, alpha
+    are the levels of the next blocks.
     """
     side = 8 * repeat
     blocks = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda i: F.repeat(
-            F.concat(*[F.get("levels", (i + c) % 64) for c in range(3)]), F.lit(repeat)
+            F.concat(*[F.get("levels", (i + c) % 64) for c in range(channels)]), F.lit(repeat)
         ),
     )
     lines = F.transform(
@@ -141,7 +141,7 @@ def pictures(spark: SparkSession, sf_dir: str, repeat: int = 1) -> DataFrame:
             "label",
             F.lit(side).alias("height"),
             F.lit(side).alias("width"),
-            F.lit(3).alias("n_channels"),
+            F.lit(channels).alias("n_channels"),
             F.unhex(F.array_join(lines, "")).alias("data"),
             F.concat(F.lit("image_"), F.col("vec_id").cast("string")).alias("filename"),
         )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +47,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: The folder of each application, and those of the scopes that are open, innermost last.
+_FOLDERS: dict[str, str] = {}
+_SCOPES: list[str] = []
+
+
+def _application_folder(spark: SparkSession) -> str:
+    """A folder in the shared one that is deleted when the application ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _FOLDERS:
+        folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        system, known = file_system(spark, folder)
+        system.mkdirs(known)
+        system.deleteOnExit(known)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """A run, at whose end all tables in the shared folder that were made in it are deleted.
+
+    Read or write its results inside. Without a scope, tables stay to the end of the application.
+    """
+    folder = f"{_application_folder(spark)}/run-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        delete_path(spark, folder)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, deleted at the end of its scope or application."""
+    return f"{_SCOPES[-1] if _SCOPES else _application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def file_system(spark: SparkSession, path: str):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from imgcurate.functions.kernels import as_array, encode_png, laplacian, phash, pixel_stats, resample
 from imgcurate.operators import sinks as sk
 from imgcurate.operators.pixels import alpha_mask, apply_pixels, with_phash, with_png
+from imgcurate.session import path_exists, run_scope, written
 from imgcurate.sources import catalog as ct
 from imgcurate.streaming import streams as st
 
@@ -145,6 +146,48 @@ def test_write(spark, folder, tmp_path):
     assert again.data == picture(80, 90, 3, 1).tobytes()
 
 
+def test_export_publishes_whole_files_only(spark, tmp_path):
+    folder = tmp_path / "files"
+    left = folder / "_attempts" / "run" / "attempt"
+    left.mkdir(parents=True)
+    (left / "half.png").write_bytes(b"half")  # by an attempt that was lost
+    rows = [(f"p{i}", bytes([i]) * 9, f"caption {i}" if i % 2 else None) for i in range(40)]
+    made = spark.createDataFrame(rows, "stem string, encoded binary, caption string").repartition(6)
+    sk.export_files(made, str(folder))
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == {
+        **{f"{s}.png": b for s, b, _ in rows}, **{f"{s}.txt": c.encode() for s, _, c in rows if c}
+    }
+
+    @F.udf("binary")
+    def fails(stem, encoded):
+        if stem == "p33":
+            raise ValueError("no picture")
+        return bytes(encoded) * 2
+
+    with pytest.raises(Exception, match="no picture"):
+        sk.export_files(made.withColumn("encoded", fails("stem", "encoded")), str(folder))
+    assert all((folder / f"{s}.png").read_bytes() == b for s, b, _ in rows)
+    # Exported once more, files are replaced and what failed has left is gone.
+    sk.export_files(made.withColumn("encoded", F.lit(b"new")), f"file://{folder}")
+    assert {p.read_bytes() for p in folder.glob("*.png")} == {b"new"} and not (folder / "_attempts").exists()
+    sk.export_files(made.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("*"))
+
+
+def test_scopes_delete_what_a_run_wrote(spark):
+    with run_scope(spark) as outer:
+        table = written(spark.range(5), "numbers")
+        with run_scope(spark) as inner:
+            assert written(table.withColumn("two", F.col("id") * 2), "doubles").count() == 5
+            assert path_exists(spark, inner)
+        assert not path_exists(spark, inner) and table.count() == 5
+        with pytest.raises(ZeroDivisionError), run_scope(spark) as failed:
+            written(table, "more")
+            1 / 0
+        assert not path_exists(spark, failed)
+    assert not path_exists(spark, outer)
+
+
 def test_incremental_scan(spark, tmp_path):
     source, out, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
     source.mkdir()
