@@ -2,9 +2,14 @@
 
 A mask is a row of positions, some of which are ignored. Hashing the tokens under each mask at
 each place of an item and of a text, and joining the hashes, finds a common passage even if
-tokens at ignored positions were replaced. Any 24 tokens with up to three replaced ones keep
-a place that one of ``MASKS`` fits. Each hit names a diagonal (place in the text less place in
-the item), on which the best overlap is then worked out token by token.
+tokens at ignored positions were replaced. Each hit names a diagonal (place in the text less
+place in the item), on which the best overlap is then worked out token by token.
+
+The masks were chosen by enumeration, so that no overlap which passes is without a hit: ``MASKS``
+for overlaps of 13 equal tokens and more, ``LIGHT`` for those of items of 15 tokens and fewer. It
+is enough to try each placement of replaced tokens in 13, 14, 15, 16, 20, 25 and 30 tokens (0, 1, 2,
+3, 4, 5, 6 replaced). Longer overlaps hold one of these, as no more than a fifth of them is replaced:
+of 35 tokens and more, if every 20 had 5 replaced ones, what is left over would have too few.
 
 What is broadcast to the scan of the documents is a filter of seed hashes of bounded size. It
 only spares rows: all that pass it meet the seeds in a join.
@@ -26,7 +31,10 @@ from .hashing import hashes, mix, spans
 from .keys import KEY, document_key
 from .registry import query, table
 
-MASKS = ("1101110011", "1110110010001", "100010101111")
+MASKS = ("1101111", "1100010111", "11110101")
+#: For items of up to so many tokens, of which fewer than 13 equal ones are enough.
+LIGHT = ("1111", "111011")
+LIGHT_MOST = 15
 #: Shorter items take no part: so few words are common property.
 SHORTEST = 8
 #: An overlap needs so many equal tokens (or four fifths of a short item) and four of five tokens equal.
@@ -58,47 +66,39 @@ def seeds_at(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
     return value
 
 
-def masks_of(lengths: list[int]) -> list[str]:
-    """The spaced masks, and for items shorter than the longest of them one that is as long as the item."""
-    longest = max(map(len, MASKS))
-    return [*MASKS, *("1" * n for n in sorted(set(lengths)) if SHORTEST <= n < longest)]
-
-
-def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
-    """``(seed, item_id, at, tokens)``: every seed of each item."""
+def item_tokens(items: DataFrame) -> DataFrame:
+    """``(item_id, n, tokens)`` of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 tokens, offsets = tokens_of(part, "text")
-                row, seed, at = [], [], []
-                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    for number, mask in enumerate(masks):
-                        # A mask without gaps is for the items that are exactly as long.
-                        if b - a < SHORTEST or (number >= len(MASKS) and b - a != len(mask)):
-                            continue
-                        own = seeds_at(tokens[a:b], mask, number)
-                        row.append(np.full(len(own), k))
-                        seed.append(own)
-                        at.append(np.arange(len(own)))
-                row, seed, at = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((row, np.int32), (seed, np.uint64), (at, np.int32)))
-                own = pa.array([tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed.view(np.int64)), part.column("item_id").take(pa.array(row)), pa.array(at), own.take(pa.array(row))],
-                    names=["seed", "item_id", "at", "tokens"],
-                )
+                held = pa.array([tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(np.diff(offsets).astype(np.int32)), held], names=["item_id", "n", "tokens"])
+
+    return items.select("item_id", "text").mapInArrow(run, "item_id long, n int, tokens binary")
 
-    return items.select("item_id", "text").mapInArrow(run, "seed long, item_id long, at int, tokens binary")
 
+def item_seeds(items: DataFrame) -> DataFrame:
+    """``(seed, item_id, at)``: every seed of the items of ``item_tokens``."""
 
-def token_counts(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                _, offsets = tokens_of(part, "text")
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets).astype(np.int32))], names=["n"])
-
-    return items.select("text").mapInArrow(run, "n int")
+            for item, held in zip(batch.column("item_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(held, np.uint64)
+                if len(tokens) < SHORTEST:
+                    continue
+                some = range(len(MASKS), len(MASKS + LIGHT)) if len(tokens) <= LIGHT_MOST else range(len(MASKS))
+                for number in some:
+                    seed = seeds_at(tokens, (MASKS + LIGHT)[number], number)
+                    for k in range(0, len(seed), 1 << 16):
+                        own = seed[k : k + (1 << 16)]
+                        at = np.arange(k, k + len(own), dtype=np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(own.view(np.int64)), pa.array(np.full(len(own), item), pa.int64()), pa.array(at)], names=["seed", "item_id", "at"]
+                        )
+
+    return items.mapInArrow(run, "seed long, item_id long, at int")
 
 
 def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS, log2_most: int = FILTER_LOG2_MOST) -> np.ndarray:
@@ -156,7 +156,7 @@ def passing(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return at
 
 
-def document_hits(docs: DataFrame, masks: list[str], bits: np.ndarray) -> DataFrame:
+def document_hits(docs: DataFrame, masks: tuple[str, ...], bits: np.ndarray) -> DataFrame:
     """``(id, tie, doc_id, tokens, hits)`` for texts with seeds that pass the filter: their tokens, and the seeds with their places."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -223,40 +223,38 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty tables give an empty one, and other columns play no part.
     """
     items = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    items = written(items, "items")
-    short = token_counts(items).where(f"n < {max(map(len, MASKS))}").distinct().collect()  # as many as a mask is long, at most
-    masks = masks_of([r.n for r in short])
-    seeds = written(item_seeds(items, masks), "seeds")
+    items = written(item_tokens(items).where(F.col("n") >= SHORTEST), "items")
+    masks = MASKS + LIGHT if not items.where(F.col("n") <= LIGHT_MOST).isEmpty() else MASKS
+    seeds = written(item_seeds(items), "seeds")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *document_key(), "text")
     held = written(document_hits(rows, masks, seed_filter(seeds)), "hits")
     hits = held.select(*KEY, F.explode("hits").alias("hit")).select(*KEY, "hit.*")
-    met = hits.join(seeds.select("seed", "item_id", "at"), "seed").select(*KEY, "item_id", (F.col("place") - F.col("at")).alias("shift"))
-    met = written(met.distinct(), "met")
+    met = hits.join(seeds, "seed").groupBy(*KEY, "item_id").agg(F.collect_set(F.col("place") - F.col("at")).alias("shifts"))
     texts = written(held.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")), "texts")
-    own = written(seeds.groupBy("item_id").agg(F.first("tokens").alias("item")), "item-tokens")
-    pairs = met.join(texts, KEY).join(own, "item_id")
+    # One row a document and item, whatever the diagonals, and the tokens of both once in it.
+    pairs = written(met, "met").join(texts, KEY).join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "tokens"):
-                rows = part.select(["tokens", "item", "shift"]).to_pydict()
-                keep, found = [], []
-                for k, (text, item, shift) in enumerate(zip(rows["tokens"], rows["item"], rows["shift"], strict=True)):
-                    text, item = np.frombuffer(text, np.uint64), np.frombuffer(item, np.uint64)
+            rows = batch.select(["tokens", "item", "shifts"])
+            keep, found = [], []
+            for k in range(rows.num_rows):
+                text, item = (np.frombuffer(rows.column(c)[k].as_py(), np.uint64) for c in ("tokens", "item"))
+                best = None
+                for shift in rows.column("shifts")[k].as_py():
                     low, high, matched = best_overlap(text, item, shift)
                     if matched >= min(MATCHED, SHARE * len(item)) and matched >= SHARE * (high - low):
-                        keep.append(k)
-                        found.append((matched, low, high))
-                some = pa.array(keep, pa.int64())
-                columns = [part.column(c).take(some) for c in ("doc_id", *KEY, "item_id")]
-                columns += [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *KEY, "item_id", "matched", "low", "high"])
+                        best = max(best or (0, 0, 0), (matched, -low, -high))
+                if best:
+                    keep.append(k)
+                    found.append((best[0], -best[1], -best[2]))
+            some = pa.array(keep, pa.int64())
+            columns = [batch.column(c).take(some) for c in ("doc_id", *KEY, "item_id")]
+            columns += [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *KEY, "item_id", "matched", "low", "high"])
 
     kind = "doc_id long, id long, tie long, item_id long, matched int, low int, high int"
-    wanted = pairs.select("doc_id", *KEY, "item_id", "tokens", "item", "shift")
-    best = F.max(F.struct("matched", (-F.col("low")).alias("low"), (-F.col("high")).alias("high"))).alias("best")
-    found = wanted.mapInArrow(verify, kind).groupBy("doc_id", *KEY, "item_id").agg(best)
-    return found.select("doc_id", *KEY, "item_id", "best.matched", (-F.col("best.low")).alias("low"), (-F.col("best.high")).alias("high"))
+    return pairs.select("doc_id", *KEY, "item_id", "tokens", "item", "shifts").mapInArrow(verify, kind)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

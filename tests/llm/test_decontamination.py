@@ -1,11 +1,13 @@
 """Decontamination against comparison at every shift, and planted passages."""
 
+import itertools
 import random
 import re
 
 import duckdb
+import numpy as np
 
-from imgcurate.llm.decontamination import MASKS, overlaps, without_contaminated
+from imgcurate.llm.decontamination import LIGHT, LIGHT_MOST, MASKS, SHORTEST, overlaps, without_contaminated
 
 DOCS = "doc_id long, text string, item_id string, matched string"
 ITEMS = "item_id long, text string"
@@ -16,7 +18,7 @@ def tokens(text):
 
 
 def brute(docs, items):
-    """Best stretch at every shift at which some mask fits."""
+    """Best stretch at every shift, whether a mask fits or not."""
     out = {}
     for d, text in docs:
         x = tokens(text)
@@ -24,15 +26,13 @@ def brute(docs, items):
             y = tokens(item)
             if len(y) < 8:
                 continue
-            masks = [*MASKS, *(["1" * len(y)] if len(y) < 13 else [])]
             for shift in range(-len(y) + 1, len(x)):
                 at = [k for k in range(len(y)) if 0 <= k + shift < len(x)]
-                same = {k for k in at if x[k + shift] == y[k]}
-                inside = lambda p, m: p >= 0 and p + len(m) <= len(y) and p + shift >= 0 and p + shift + len(m) <= len(x)
-                if not any(inside(p, m) and all(p + k in same for k, b in enumerate(m) if b == "1") for m in masks for p in range(len(y))):
+                same = [x[k + shift] == y[k] for k in at]
+                if sum(same) < min(13, 0.8 * len(y)):
                     continue
                 best = max(
-                    (sum(1 if k in same else -2 for k in at[a:b]), sum(k in same for k in at[a:b]), b - a)
+                    (sum(1 if s else -2 for s in same[a:b]), sum(same[a:b]), b - a)
                     for a in range(len(at))
                     for b in range(a + 1, len(at) + 1)
                 )
@@ -41,6 +41,52 @@ def brute(docs, items):
     return out
 
 
+def lost(masks, length, replaced):
+    """How many placements of replaced tokens no mask fits."""
+    at = np.array(list(itertools.combinations(range(length), replaced)), np.int64)
+    left = (np.int64(1) << at).sum(axis=1)
+    for mask in masks:
+        bits = sum(1 << k for k, b in enumerate(mask) if b == "1")
+        for k in range(length - len(mask) + 1):
+            left = left[(left & (bits << k)) != 0]
+    return len(left)
+
+
+def test_masks_fit_every_overlap():
+    for length, replaced in ((13, 0), (14, 1), (15, 2), (16, 3), (20, 4), (25, 5), (30, 6)):
+        assert lost(MASKS, length, replaced) == 0
+    for item in range(SHORTEST, LIGHT_MOST + 1):
+        for length in range(1, item + 1):
+            for replaced in range(length // 5 + 1):
+                if length - replaced >= 0.8 * item:
+                    assert lost(LIGHT, length, replaced) == 0, (item, length, replaced)
+
+
+def test_short_items_with_replaced_words(spark):
+    """Every placement of as many replaced words as are allowed, in items of 8 to 16 words."""
+    items, docs = [], []
+    for n, replaced in ((8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (15, 3), (16, 3)):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for at in itertools.combinations(range(n), replaced):
+            text = ["so", "it", "goes", *("other" if k in at else w for k, w in enumerate(words)), "and", "on"]
+            docs.append((len(docs), " ".join(text)))
+    found = overlaps(spark.createDataFrame([(*r, "", "") for r in docs], DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    # All that the rule for the best stretch accepts, and nothing else.
+    assert got == set(brute(docs, items)) and len(got) > 600
+
+
+def test_very_long_items(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    same = ["again"] * 3000
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(same))], ITEMS)
+    rows = [(1, " ".join(long[7000:7100])), (2, " ".join(long)), (3, " ".join(same[:500])), (4, " ".join(long[::2]))]
+    found = overlaps(spark.createDataFrame([(*r, "", "") for r in rows], DOCS), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in found) == [(1, 1, 100), (2, 1, 20_000), (3, 2, 500)]
+
+
 def test_equals_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
