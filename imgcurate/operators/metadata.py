@@ -59,8 +59,11 @@ def _route_values(values: str) -> list[str]:
 
 def matches(field: str, values: str, metadata: str = "metadata") -> Column:
     """Is the field's text, in lower case, in the comma list? A missing field is ``""``."""
-    value = F.lower(F.coalesce(field_text(F.try_parse_json(metadata), field), F.lit("")))
-    return value.isin(_route_values(values))
+    return _matches(F.try_parse_json(metadata), field, values)
+
+
+def _matches(parsed: Column, field: str, values: str) -> Column:
+    return F.lower(F.coalesce(field_text(parsed, field), F.lit(""))).isin(_route_values(values))
 
 
 def route(df: DataFrame, field: str = "pose", values: str = "standing") -> DataFrame:
@@ -72,13 +75,13 @@ def route(df: DataFrame, field: str = "pose", values: str = "standing") -> DataF
 
 
 def route_multi(df: DataFrame, steps: Sequence[tuple[str, str]]) -> DataFrame:
-    """Add ``matched`` for rows that match every step."""
+    """Add ``matched`` for rows that match every step. The metadata is parsed once a row, whatever the steps."""
     hit = F.lit(True)
     for field, values in steps:
-        hit = hit & matches(field, values)
+        hit = hit & _matches(F.col("_parsed"), field, values)
     if "metadata_valid" in df.columns:
         hit = ~F.col("metadata_valid") | hit
-    return df.withColumn("matched", hit)
+    return df.withColumn("_parsed", F.try_parse_json("metadata")).withColumn("matched", hit).drop("_parsed")
 
 
 def join_captions(images: DataFrame, captions: DataFrame, positional: bool = False) -> DataFrame:

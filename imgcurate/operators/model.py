@@ -92,14 +92,21 @@ def map_model(
     inputs: Sequence[str],
     partitions: int | None = None,
     out: str = "response",
+    endpoint: str | None = None,
+    calls: int = 1,
 ) -> DataFrame:
     """M3: add ``response`` and ``error``, one of which is null.
 
     The model gets batches of ``inputs`` and returns one text per row. When it
     raises, the batch is tried row by row, so only the rows at fault carry the
     error: it is halved until the rows at fault are alone, so good rows are asked few
-    times. The other columns do not leave the JVM, and nothing is shuffled:
-    ``partitions`` bounds how many calls run at a time by joining partitions.
+    times. The other columns do not leave the JVM.
+
+    Without bounds nothing is shuffled. ``partitions`` bounds how many calls run at a time.
+    ``endpoint`` names a column of servers, each of which gets at most ``calls`` at a time: a
+    partition is one of the calls that one server can take. Rows are dealt to the bounded
+    partitions by a shuffle, so what comes before keeps its tasks. Rows without an endpoint
+    share the partitions of one more.
     """
     names = list(inputs)
 
@@ -124,7 +131,14 @@ def map_model(
 
     # Nondeterministic: the optimizer must not run a model twice or move it.
     call = F.pandas_udf(lambda batch: answers(batch), "response string, error string").asNondeterministic()
-    spread = df if partitions is None else df.coalesce(partitions)
+    if endpoint is not None:
+        # As many as there are servers.
+        servers = [r[0] for r in df.select(endpoint).distinct().collect() if r[0] is not None]
+        number = F.coalesce(F.array_position(F.array(*map(F.lit, sorted(servers))), F.col(endpoint)).cast("int"), F.lit(0)) if servers else F.lit(0)
+        slot = number * calls + F.pmod(F.xxhash64(*names), F.lit(calls)).cast("int")
+        spread = df.repartitionById((len(servers) + 1) * calls, slot)
+    else:
+        spread = df if partitions is None else df.repartition(partitions)
     return (
         spread.withColumn("_answer", call(F.struct(*names)))
         .withColumns({out: F.col("_answer.response"), "error": F.col("_answer.error")})
@@ -132,9 +146,11 @@ def map_model(
     )
 
 
-def map_with_fallback(df: DataFrame, model: Model, inputs: Sequence[str], original: str, partitions: int | None = None) -> DataFrame:
-    """M4: transform a column; a row that fails keeps its original and says so."""
-    mapped = map_model(df, model, inputs, partitions, "_result")
+def map_with_fallback(
+    df: DataFrame, model: Model, inputs: Sequence[str], original: str, partitions: int | None = None, endpoint: str | None = None, calls: int = 1
+) -> DataFrame:
+    """M4: transform a column; a row that fails keeps its original and says so. Calls are bounded as in ``map_model``."""
+    mapped = map_model(df, model, inputs, partitions, "_result", endpoint, calls)
     return mapped.withColumns(
         {"result": F.coalesce("_result", original), "used_fallback": F.col("_result").isNull()}
     ).drop("_result")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,22 @@ def score_distribution(df: DataFrame, col: str = "score", low: float = 0.0, high
     return counts.select("bin", (F.lit(low) + F.col("bin") * width).alias("from_score"), "n")
 
 
-def score_quantiles(df: DataFrame, col: str = "score", shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Q8: approximate quantiles of a score, for choosing a threshold."""
-    return df.agg(F.percentile_approx(col, list(shares)).alias("quantiles"))
+def score_sketches(df: DataFrame, by: Sequence[str], col: str = "score", k: int = 200) -> DataFrame:
+    """Q8: a sketch of the scores of each group, a few kilobytes whatever its rows; null scores do not count.
+
+    Sketches of days, say, can be stored and merged later without the scores. A larger ``k`` is more exact.
+    """
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(col).cast("double"), k).alias("sketch"))
+
+
+def score_quantiles(sketches: DataFrame, by: Sequence[str] = (), shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Q8: ``(*by, share, quantile)`` of merged sketches, for choosing a threshold.
+
+    With the usual ``k`` about a hundredth of the rows, seldom more, lie between a quantile and the true one.
+    A group without scores has null quantiles.
+    """
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    some = F.when(F.kll_sketch_get_n_double("sketch") > 0, F.col("sketch"))
+    ranks = F.array(*[F.lit(float(s)) for s in shares])
+    found = merged.select(*by, F.kll_sketch_get_quantile_double(some, ranks).alias("_found"), F.posexplode(ranks).alias("_at", "share"))
+    return found.select(*by, "share", F.get("_found", F.col("_at")).alias("quantile"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imgcurate.functions.arith import floor_div
 from imgcurate.operators import ranges as rg
 from imgcurate.operators import sampling as sm
 from imgcurate.operators import scoring as sc
+from imgcurate.operators.quality import score_quantiles, score_sketches
 from imgcurate.plans import tables as t
 from imgcurate.plans.registry import half_even, query
 
@@ -335,3 +337,21 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = t.table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'")
     sources = known.select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("video"))
     return rg.missing_source(rg.select_high(_tiered_frames(spark, sf_dir)), sources)
+
+
+@query(
+    "q8_score_quantiles",
+    f"""WITH {t.FRAMES}, shares AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS share)
+    SELECT is_keyframe, share, true AS close FROM (SELECT DISTINCT is_keyframe FROM frames WHERE score IS NOT NULL), shares""",
+)
+def q8_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each day merged; three hundredths of the rows at most lie between a quantile and the true one."""
+    rows = t.frames(spark, sf_dir).withColumn("day", floor_div("us", 86_400_000_000))
+    found = score_quantiles(score_sketches(rows, ["is_keyframe", "day"]), ["is_keyframe"])
+    # Five quantiles a side.
+    counted = rows.filter("score is not null").join(F.broadcast(found), "is_keyframe").groupBy("is_keyframe", "share").agg(
+        F.avg((F.col("score") < F.col("quantile")).cast("double")).alias("below"),
+        F.avg((F.col("score") <= F.col("quantile")).cast("double")).alias("up_to"),
+    )
+    close = (F.col("below") <= F.col("share") + 0.03) & (F.col("up_to") >= F.col("share") - 0.03)
+    return counted.select("is_keyframe", "share", close.alias("close"))

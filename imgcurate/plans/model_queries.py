@@ -117,6 +117,13 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("m3_map_model_by_endpoint", MODEL)
+def m3_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three servers that take two calls at a time each."""
+    rows = mo.assign_endpoint(_documents(spark, sf_dir), "http://a:1,http://b:2,http://c:3", "http://d:4")
+    return mo.map_model(rows, count_words, ["text", "lang"], endpoint="endpoint", calls=2).select("image_id", "response", "error")
+
+
 @query(
     "m4_map_with_fallback",
     """SELECT doc_id AS image_id, CASE WHEN lang NOT IN ('es', 'de') THEN CAST(length(text) AS VARCHAR) ELSE text END AS result,

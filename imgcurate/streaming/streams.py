@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from imgcurate.functions.arith import floor_div
 from imgcurate.functions.bits import with_band_keys
 from imgcurate.operators.dedup import dedup_first_wins
-from imgcurate.operators.model import assemble_stream
-from imgcurate.session import written
 
 KEPT = "image_id long, words array<long>"
 
@@ -41,51 +45,73 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], f"{schema}, batch long")
 
 
-FRAGMENTS = "request_id long, seq long, fragment string, done boolean"
-RESPONSES = "request_id long, response string"
+RESPONSES = "request_id long, response string, ended boolean"
+FRAGMENT_STATE = "seqs array<long>, texts array<string>, last long"
+
+
+def _fragments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The response of one request after its new fragments, and those up to its end as state."""
+    seqs, texts, last = state.get if state.exists else ([], [], None)
+    held = list(zip(seqs, texts))
+    fresh = False
+    for rows in batches:
+        for seq, text, done in zip(rows["seq"], rows["fragment"], rows["done"]):
+            if pd.isna(seq):
+                continue
+            seq = int(seq)
+            if last is not None and seq > last:
+                continue
+            fresh = True
+            held.append((seq, "" if text is None else text))
+            if done is not None and not pd.isna(done) and done:
+                last = seq
+                held = [h for h in held if h[0] <= last]
+    if fresh:
+        held.sort()
+        state.update(([s for s, _ in held], [t for _, t in held], last))
+        yield pd.DataFrame({"request_id": [key[0]], "response": ["".join(t for _, t in held)], "ended": [last is not None]})
 
 
 def assemble_fragments_stream(chunks: DataFrame, table: str) -> DataStreamWriter:
     """M5: responses as requests end, whatever the pauses between their fragments.
 
-    ``chunks(request_id, seq, fragment, done)``. Fragments are kept in
-    ``table/fragments``. A batch that brings fragments of requests that have ended,
-    by then or before, writes their responses to ``table/responses`` under its number,
-    and ``responses`` reads the newest; fragments behind the first ``done`` are cut
-    off, and if these are all that a batch brings, the response stays as it is.
-    Every batch writes folders of its own, so it may run again. What has not ended
-    is given by ``open_requests``.
+    ``chunks(request_id, seq, fragment, done)``. The state of a request is its fragments up to its
+    end, so a batch costs what it brings and what the requests it touches hold; earlier batches are
+    not read. A batch writes the texts of the requests it touches to ``table/batch=<number>``, ended
+    or not, over what an earlier attempt of it wrote. ``responses`` and ``open_requests`` read the newest.
+    Fragments behind the first ``done`` are cut off, as are those without a ``seq``; an end that comes
+    later but lies before cuts the response anew. State is kept for ever, so choose the RocksDB
+    provider of state for streams of many requests.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.select(*[f.split()[0] for f in FRAGMENTS.split(", ")]).write.mode("overwrite").parquet(
-            f"{table}/fragments/batch={number}"
-        )
-        known = _stored(spark, f"{table}/fragments", FRAGMENTS).filter(F.col("batch") <= number)
-        new = known.filter(F.col("batch") == number).groupBy("request_id").agg(F.min("seq").alias("_first"))
-        ends = known.filter("done").join(new, "request_id", "left_semi").groupBy("request_id").agg(F.min("seq").alias("_end"))
-        touched = new.join(ends, "request_id").filter("_end is null or _first <= _end").select("request_id")
-        response = assemble_stream(known.drop("batch").join(touched, "request_id", "left_semi"))
-        response.write.mode("overwrite").parquet(f"{table}/responses/batch={number}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    rows = chunks.select(F.col("request_id").cast("long").alias("request_id"), F.col("seq").cast("long").alias("seq"), "fragment", "done")
+    texts = rows.groupBy("request_id").applyInPandasWithState(_fragments, RESPONSES, FRAGMENT_STATE, "update", GroupStateTimeout.NoTimeout)
+    return texts.writeStream.outputMode("update").foreachBatch(write)
 
-    return chunks.writeStream.foreachBatch(merge)
+
+def _newest(spark: SparkSession, table: str) -> DataFrame:
+    known = _stored(spark, table, RESPONSES)
+    return known.groupBy("request_id").agg(F.max_by(F.struct("response", "ended"), "batch").alias("r")).select("request_id", "r.*")
 
 
 def responses(spark: SparkSession, table: str) -> DataFrame:
     """M5: ``(request_id, response)`` of the requests that have ended, with all fragments that have come."""
-    known = _stored(spark, f"{table}/responses", RESPONSES)
-    last = known.groupBy("request_id").agg(F.max("batch").alias("batch"))
-    return known.join(last, ["request_id", "batch"]).select("request_id", "response")
+    return _newest(spark, table).filter("ended").drop("ended")
 
 
 def open_requests(spark: SparkSession, table: str) -> DataFrame:
     """M5: what there is of the requests that have not ended, to be called when no more will come."""
-    rest = _stored(spark, f"{table}/fragments", FRAGMENTS).drop("batch").join(responses(spark, table), "request_id", "left_anti")
-    return assemble_stream(rest)
+    return _newest(spark, table).filter("not ended").drop("ended")
 
 
 SESSIONS = "video string, start_ts timestamp, end_ts timestamp, frames long"
+BLOCKS = "video string, block long, start_us long, end_us long, frames long"
+BLOCK_STATE = "starts array<long>, ends array<long>, frames array<long>"
+#: Gaps in a block, which bounds the clusters of one and with them a state.
+BLOCK_GAPS = 1000
 
 
 def _merged(sessions: DataFrame, gap: str) -> DataFrame:
@@ -104,33 +130,46 @@ def _merged(sessions: DataFrame, gap: str) -> DataFrame:
 def cluster_ranges_stream(frames: DataFrame, table: str, gap: str = "10 seconds") -> DataStreamWriter:
     """R2: a table of clusters of high frames, kept up to date; a gap of exactly ``gap`` still merges.
 
-    A batch is first clustered by session windows, which need one row per cluster
-    and task. These are merged with the stored clusters of the same videos, however
-    late they come, and the videos touched are written anew under the number of the
-    batch. ``stored_clusters`` reads the latest state, open clusters included.
+    Time is cut into blocks, and the clusters of a block of a video are its state, a thousand at
+    most. A batch costs what it brings and the blocks it touches, however late their frames come and
+    however long the video; it writes these blocks to ``table/batch=<number>``. ``stored_clusters``
+    reads the newest of each block and joins clusters that go on in the next one. Frames without a
+    time are left out.
     """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # A session window ends at its last row plus its gap, and what starts there is not part of it.
-        window = F.session_window("ts", f"{gap} 1 microsecond")
-        new = batch.groupBy("video", window).agg(
-            F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("frames")
-        ).drop("session_window")
-        new = written(new, "sessions")
-        old = stored_clusters(spark, table, number).join(new.select("video").distinct(), "video", "left_semi")
-        _merged(new.unionByName(old), gap).write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return frames.writeStream.foreachBatch(merge)
-
-
-def stored_clusters(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
-    """R2: the clusters after all batches, or after those with a number below ``before``."""
-    known = _stored(spark, table, SESSIONS)
-    if before is not None:
-        known = known.filter(F.col("batch") < before)
-    last = known.groupBy("video").agg(F.max("batch").alias("batch"))
-    return known.join(last, ["video", "batch"]).select("video", "start_ts", "end_ts", "frames")
+    gap_us = frames.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {gap})")).first()[0]
+
+    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else ([], [], [])
+        starts, ends, counts = (np.array(c, np.int64) for c in held)
+        for rows in batches:
+            times, n = np.unique(rows["us"].to_numpy(np.int64), return_counts=True)
+            starts, ends, counts = (np.concatenate(c) for c in ((starts, times), (ends, times), (counts, n)))
+            order = np.argsort(starts, kind="stable")
+            starts, ends, counts = starts[order], ends[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], starts[1:] - np.maximum.accumulate(ends)[:-1] > gap_us]))
+            starts, ends, counts = starts[first], np.maximum.reduceat(ends, first), np.add.reduceat(counts, first)
+        state.update((starts.tolist(), ends.tolist(), counts.tolist()))
+        yield pd.DataFrame({"video": key[0], "block": key[1], "start_us": starts, "end_us": ends, "frames": counts})
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    rows = frames.filter("ts is not null").select("video", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = rows.withColumn("block", floor_div("us", BLOCK_GAPS * max(1, gap_us)))
+    blocks = rows.groupBy("video", "block").applyInPandasWithState(merge, BLOCKS, BLOCK_STATE, "update", GroupStateTimeout.NoTimeout)
+    return blocks.withColumn("gap", F.lit(gap)).writeStream.outputMode("update").foreachBatch(write)
+
+
+def stored_clusters(spark: SparkSession, table: str) -> DataFrame:
+    """R2: the clusters after all batches, open ones included."""
+    known = _stored(spark, table, f"{BLOCKS}, gap string")
+    last = known.groupBy(F.col("video").alias("_video"), F.col("block").alias("_block")).agg(F.max("batch").alias("_batch"))
+    same = F.col("video").eqNullSafe(F.col("_video")) & (F.col("block") == F.col("_block")) & (F.col("batch") == F.col("_batch"))
+    gap = known.select("gap").first()
+    newest = known.join(last, same).select(
+        "video", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"), "frames"
+    )
+    return newest if gap is None else _merged(newest, gap[0])
 
 
 def dedup_against_kept(batch: DataFrame, kept: DataFrame, threshold: int, bits: int) -> DataFrame:

@@ -73,6 +73,46 @@ def test_late_frames_join_their_cluster(spark, tmp_path):
     assert set(map(tuple, got.collect())) == want
 
 
+def test_batches_cost_what_they_bring(spark, tmp_path):
+    """Twenty-five batches, each of one new request and one old: two states change, and no batch reads an earlier one."""
+    rows = [(r, s, f"{r}.{s} ", False) for n in range(25) for r, s in ((n, 0), (n // 2, n))]
+    table = str(tmp_path / "requests")
+    stream = batches(spark, tmp_path, rows, "request_id long, seq long, fragment string, done boolean", 25)
+    query = st.assemble_fragments_stream(stream, table).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    brought = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(brought) == 25 and all(p["numInputRows"] == 2 and p["stateOperators"][0]["numRowsUpdated"] <= 2 for p in brought)
+    assert all(len(p["sources"]) == 1 for p in brought)
+    want = {}
+    for r, s, text, _ in sorted(rows):
+        want[r] = want.get(r, "") + text
+    assert {r.request_id: r.response for r in st.open_requests(spark, table).collect()} == want
+
+
+def test_long_videos_touch_their_blocks_only(spark, tmp_path):
+    """One video of 40 blocks; the last batch brings a late frame that joins two clusters across a border."""
+    span = st.BLOCK_GAPS * 10
+    seconds = [b * span + k for b in range(40) for k in (0, 5, 500, span - 6)] + [span - 1]
+    rows = [("v", t) for t in seconds]
+    stream = batches(spark, tmp_path, rows, "video string, second long", 1)
+    spark.createDataFrame([("v", 3 * span - 3)], "video string, second long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = str(tmp_path / "clusters")
+    frames = stream.select("video", F.timestamp_seconds("second").alias("ts"))
+    query = st.cluster_ranges_stream(frames, table, "10 seconds").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]) == [1, 40]
+    times, want = sorted({*seconds, 3 * span - 3}), set()
+    start = last = times[0]
+    n = 0
+    for t in [*times, 10**9]:
+        if t - last > 10:
+            want.add((start, last, n))
+            start, n = t, 0
+        last, n = t, n + 1
+    got = st.stored_clusters(spark, table).select(F.unix_seconds("start_ts"), F.unix_seconds("end_ts"), "frames")
+    assert set(map(tuple, got.collect())) == want
+
+
 def test_copies_however_late(spark, tmp_path):
     rows = [(i, [i % 7]) for i in range(60)]
     table = str(tmp_path / "kept")
