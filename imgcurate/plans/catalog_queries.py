@@ -130,13 +130,13 @@ def sums(made: DataFrame) -> DataFrame:
 @query(
     "s7_preview",
     """WITH levels AS (
-      SELECT vec_id AS image_id, 3 + label % 6 AS h,
+      SELECT vec_id AS image_id, 4 << CAST(label % 4 AS INTEGER) AS w, 64 // (4 << CAST(label % 4 AS INTEGER)) AS h,
              list_transform(embedding, lambda x: CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, 128 + 400 * CAST(x AS DOUBLE)))) AS BIGINT)) AS v
       FROM embeddings
-    ), page AS (SELECT max(h) AS hh FROM levels), cells AS (
-      SELECT image_id, hh, v[i + 1] AS b, CAST(i + 8 * ((hh - h) // 2) AS BIGINT) AS place
-      FROM levels, page, range(64) AS t(i) WHERE i < 8 * h
-    ) SELECT image_id, 8 AS width, CAST(any_value(hh) AS INTEGER) AS height, sum(b)::BIGINT AS bytes, sum(b * (place + 1))::BIGINT AS placed
+    ), page AS (SELECT max(w) AS ww, max(h) AS hh FROM levels), cells AS (
+      SELECT image_id, ww, hh, v[i + 1] AS b, CAST((i // w + (hh - h) // 2) * ww + i % w + (ww - w) // 2 AS BIGINT) AS place
+      FROM levels, page, range(64) AS t(i)
+    ) SELECT image_id, CAST(any_value(ww) AS INTEGER) AS width, CAST(any_value(hh) AS INTEGER) AS height, sum(b)::BIGINT AS bytes, sum(b * (place + 1))::BIGINT AS placed
     FROM cells GROUP BY image_id""",
 )
 def s7(spark: SparkSession, sf_dir: str) -> DataFrame:

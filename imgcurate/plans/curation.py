@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgcurate.operators.dedup import dedup_first_wins, dedup_split
+from imgcurate.operators.dedup import dedup_exact, dedup_first_wins, dedup_split
 from imgcurate.operators.geometry import resize
 from imgcurate.operators.metadata import join_captions
-from imgcurate.operators.pixels import apply_pixels, with_phash, with_pixel_stats
+from imgcurate.operators.model import Model, map_model, model_filter
+from imgcurate.operators.pixels import apply_pixels, encode_for_model, with_phash, with_pixel_stats, with_png
 from imgcurate.operators.quality import quality_split
 from imgcurate.operators.ranges import cluster_ranges, combine, dense_resample, select_high
 from imgcurate.operators.sampling import ORDER
 from imgcurate.operators.scoring import tiered_sample
-from imgcurate.operators.sinks import output_stem
+from imgcurate.operators.sinks import export_files, output_stem, write_dataset
 from imgcurate.plans import tables as t
 from imgcurate.plans.frame_queries import DENSE, RANGES
 from imgcurate.plans.registry import query
-from imgcurate.session import cut_lineage
+from imgcurate.session import cut_lineage, written
+from imgcurate.sources.catalog import read_catalog, scan_images, with_ids
 
 
 def curate_frames(frames: DataFrame, high: float = 4.0, dense_fps: float = 0.5) -> DataFrame:
@@ -83,6 +85,53 @@ def curate_pictures(
     return made.join(captioned, "image_id").withColumn("stem", output_stem(F.col("filename"), F.col("image_id")))
 
 
+def curate_folder(
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    judge: Model,
+    captioner: Model,
+    min_size: int = 256,
+    threshold: int | None = 6,
+    hash_size: int = 16,
+    min_quality: float = 5,
+    calls: int | None = None,
+) -> DataFrame:
+    """A folder of pictures to a captioned data set: scan, first of near copies, judged, captioned, written.
+
+    ``judge`` and ``captioner`` are models that get ``encoded`` files and ``filename``; at most ``calls``
+    of one run at a time. Copies are found by perceptual hash, or with a ``threshold`` of None by equal
+    bytes. Pictures that the judge cannot be read on are kept, as are those without a caption. The
+    data set goes to ``out``, and pictures and captions as files to ``out/files``. Gives what was kept:
+    ``(image_id, filename, stem, quality, reason, caption)``.
+
+    Models run once: their answers are written before they are used. Bytes are read from the files
+    again by each step, so that narrow rows are all that is joined or sorted.
+    """
+    ids = written(with_ids(read_catalog(spark, folder), "name").select("path", "image_id", F.col("name").alias("filename")), "ids")
+    pictures = scan_images(spark, folder, min_size).drop("filename").join(ids, "path")
+    if threshold is None:
+        narrow = cut_lineage(pictures.select("image_id", F.array(F.sha2("data", 256)).alias("words")))
+        marked = dedup_exact(narrow)
+    else:
+        narrow = cut_lineage(with_phash(pictures, hash_size).select("image_id", "words"))
+        marked = dedup_first_wins(narrow, threshold, bits=hash_size**2)
+    kept, _ = dedup_split(marked)
+
+    def asked(rows: DataFrame, model: Model, out: str) -> DataFrame:
+        shown = encode_for_model(pictures.join(rows.select("image_id"), "image_id", "left_semi")).join(ids.select("image_id", "filename"), "image_id")
+        return written(map_model(shown, model, ["encoded", "filename"], calls, out).select("image_id", "filename", out), out)
+
+    judged = model_filter(asked(kept, judge, "response"), min_quality).filter("keep")
+    chosen = written(judged.select("image_id", "filename", "quality", "reason"), "chosen")
+    captions = asked(chosen, captioner, "caption").select("image_id", "caption")
+    made = chosen.join(captions, "image_id").withColumn("stem", output_stem(F.col("filename"), F.col("image_id")))
+    write_dataset(made.select("image_id", "filename", "stem", "quality", "reason", "caption"), out)
+    made = spark.read.parquet(f"{out}/data")
+    export_files(with_png(pictures.drop("filename").join(made.select("image_id", "stem", "caption"), "image_id")), f"{out}/files")
+    return made
+
+
 @query("curate_pictures")
 def pictures_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures from embeddings, captioned by documents of the same number."""

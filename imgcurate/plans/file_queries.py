@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgcurate.operators import sinks as sk
 from imgcurate.operators.pixels import alpha_mask, byte_sum, with_byte_sums, with_png
 from imgcurate.plans import tables as t
+from imgcurate.plans.curation import curate_folder
 from imgcurate.plans.registry import query
 from imgcurate.session import scratch_path
 from imgcurate.sources import catalog as ct
@@ -121,3 +123,36 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     captions = texts.select(stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("caption"))
     pictures = with_byte_sums(ct.read_pictures(spark, folder)).select(stem(ct.file_name()).alias("stem"), "bytes", "placed")
     return pictures.join(captions, "stem", "left").select("stem", "caption", "bytes", "placed")
+
+
+def _number(batch: pd.DataFrame) -> pd.Series:
+    return batch["filename"].str.extract(r"(\d+)", expand=False).astype(int)
+
+
+def judge(batch: pd.DataFrame) -> pd.Series:
+    """Stands in for a model; one of eleven answers cannot be read."""
+    return _number(batch).map(lambda i: "hm" if i % 11 == 0 else f'{{"keep": {str(i % 7 != 0).lower()}, "quality": {i % 10}}}')
+
+
+def describe(batch: pd.DataFrame) -> pd.Series:
+    """Stands in for a model that has nothing to say on one of thirteen pictures."""
+    return _number(batch).map(lambda i: None if i % 13 == 0 else f"picture {i}")
+
+
+@query(
+    "curate_folder",
+    f"""WITH {files_sql(3)}, pictures AS (
+      SELECT image_id, v, 'image_' || image_id AS stem FROM levels WHERE k = 4
+    ), firsts AS (
+      SELECT * FROM pictures QUALIFY row_number() OVER (PARTITION BY v ORDER BY stem || '.png') = 1
+    ) SELECT stem, CASE WHEN image_id % 13 <> 0 THEN 'picture ' || image_id END AS caption, bytes, placed
+    FROM firsts JOIN files USING (image_id) WHERE image_id % 11 = 0 OR (image_id % 7 <> 0 AND image_id % 10 >= 5)""",
+)
+def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files scanned, judged, captioned and written as files again, which are read back."""
+    folder, out = _new_folder(spark), _new_folder(spark)
+    sk.export_files(with_png(_pictures(spark, sf_dir)), folder)
+    curate_folder(spark, folder, out, judge, describe, min_size=16, threshold=None, calls=4)
+    captions = spark.read.schema("stem string, caption string").json(f"{out}/manifest")
+    pictures = with_byte_sums(ct.read_pictures(spark, f"{out}/files")).select(F.regexp_replace(ct.file_name(), r"\.png$", "").alias("stem"), "bytes", "placed")
+    return captions.join(pictures, "stem", "full").select("stem", "caption", "bytes", "placed")

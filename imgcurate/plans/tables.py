@@ -149,15 +149,14 @@ def pictures(spark: SparkSession, sf_dir: str, repeat: int = 1, channels: int =
 
 
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gray pictures, 8 wide and 3 to 8 high by label."""
-    height = (F.lit(3) + F.col("label") % 6).cast("int")
-    levels = F.slice(F.transform("embedding", _level), F.lit(1), height * 8)
+    """Gray pictures of all 64 numbers, 4 to 32 wide by label and as high as it takes."""
+    width = F.expr("shiftleft(4, cast(label % 4 as int))")
     return _embeddings(spark, sf_dir).select(
         F.col("vec_id").alias("image_id"),
-        height.alias("height"),
-        F.lit(8).alias("width"),
+        (F.lit(64) / width).cast("int").alias("height"),
+        width.alias("width"),
         F.lit(1).alias("n_channels"),
-        F.unhex(F.array_join(_hex(levels), "")).alias("data"),
+        F.unhex(F.array_join(_hex(F.transform("embedding", _level)), "")).alias("data"),
     )
 
 
