@@ -44,8 +44,10 @@ UNKNOWN = "und"
 #: Bits of the filter of frequent phrases for each of them, and at most (64 MB).
 FILTER_BITS = 16
 FILTER_LOG2_MOST = 29
-#: Fingerprints that a task holds before it gives its counts away.
+#: Fingerprints that a task holds before it gives its counts away, and bytes of text that it takes up at once.
 HELD = 1 << 20
+COUNTED_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -121,7 +123,7 @@ def fingerprint_counts(docs: DataFrame, size: int, bits: np.ndarray | None) -> D
                 yield pa.RecordBatch.from_arrays(own, names=["seed", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", COUNTED_BYTES):
                 words = Words(part)
                 at = _candidates(words, size, shared.value)
                 if not len(at):
@@ -150,7 +152,7 @@ def phrases_with(docs: DataFrame, bits: np.ndarray, most_words: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 words = Words(part)
                 if not len(words.piece):
                     continue
