@@ -5,7 +5,7 @@ import re
 import duckdb
 import pytest
 
-from imgcurate.llm.html_extraction import candidates, extract, main_text, templates_of
+from imgcurate.llm.html_extraction import _signed, candidates, extract, hash_subtrees, main_text, parse, templates_of, walk
 
 CASES = {
     "": "",
@@ -23,6 +23,12 @@ CASES = {
     "<p hidden>no</p><p style='display: none'>no</p><p role='navigation'>no</p><p>yes</p>": "yes",
     "<article><p>t<!-- open comment": "t",
     "<article><p a='>'>t</p": "t",
+    "<article><header><h1>Title of story</h1><nav>n</nav></header><p>text</p></article><header><h1>Site</h1></header>": "Title of story\ntext",
+    "<article><section class='related-work'><p>work</p></section><p id='comment'>remark</p><div class='related-posts'>x</div></article>": "work\nremark",
+    "<article><div class='comment-list'>c</div><ul class='share buttons'><li>a</ul><p>t</p></article>": "t",
+    "<article><a href=/2>Teaser</a></article><div><p>The story itself, which is told at length outside.</p></div>": "Teaser\nThe story itself, which is told at length outside.",
+    "<main><p>t</p></main><div>much more text than the main element has</div>": "t",
+    "<article><div class=ad>a</div></article><p>x</p>": "x",
     "<article><textarea>no</textarea><p>a</article><article><p>b</article>": "a\nb",
 }
 
@@ -60,13 +66,44 @@ def test_templates_go(spark):
     want = {(u, f"own text {i}") for i, u, _, _ in rows[:10]}
     want |= {(u, f"Site top\nown text {i}\nsame line\nbottom {i % 2}") for i, u, _, _ in rows[10:]}
     assert got == want
+    # The counts from the sources of the pages: the same markup is the same subtree.
+    marks = re.compile(r"<div><b>Site</b> top</div>|<b>Site</b>|<div class=x>.*?</div>|<p>.*?</p>|<div>bottom .</div>")
     counts = {}
     for _, u, h, _ in rows:
-        for c in candidates(h):
+        for c in set(marks.findall(h)):
             counts[u.split("/")[2], c] = counts.get((u.split("/")[2], c), 0) + 1
     pages = {"a.example": 10, "b.example": 4}
     want = {k for k, n in counts.items() if n >= 5 and n >= 0.2 * pages[k[0]]}
-    assert {(r.host, r.subtree) for r in templates_of(df.drop("host")).collect()} == want
+    ids = {c: candidates(c)[0] for _, c in want}
+    outer = {(h, _hash_of(c)) for h, c in want}
+    got = {(r.host, r.subtree) for r in templates_of(df.drop("host")).collect()}
+    assert outer <= got and {h for h, _ in got} == {"a.example"}
+    assert got == {(h, x) for h, c in want for x in ids[c]}
+
+
+def _hash_of(markup):
+    root = parse(markup)[0]
+    hash_subtrees(walk(root, True))
+    return _signed(root.children[0].hash)
+
+
+def boxed(i, text, box="<div class='box9'><p>Buy our plan today</p></div>"):
+    return (i, f"http://a.example/{i}", f"<nav>n</nav><main><h1>Head {text}</h1><p>{text} is what this page tells of, at some length.</p>{box}</main>", None)
+
+
+def test_boxes_inside_main_elements(spark):
+    """A box that many different articles have goes; one that only copies of one article have stays; so does a shared paragraph."""
+    body = lambda t: f"Head {t}\n{t} is what this page tells of, at some length."
+    df = spark.createDataFrame([boxed(i, f"story {i}") for i in range(12)], SCHEMA)
+    assert {r.page_id: r.text for r in extract(df).collect()} == {i: body(f"story {i}") for i in range(12)}
+    copies = spark.createDataFrame([boxed(i, "one story") for i in range(12)], SCHEMA)
+    assert {r.text for r in extract(copies).collect()} == {body("one story") + "\nBuy our plan today"}
+    shared = spark.createDataFrame([boxed(i, f"story {i}", "<p>Buy our plan today</p>") for i in range(12)], SCHEMA)
+    assert {r.text for r in extract(shared).collect()} == {body(f"story {i}") + "\nBuy our plan today" for i in range(12)}
+    # A body that is most of its article stays, under whatever heads.
+    long = "<div>" + "the body of the text " * 20 + "</div>"
+    bodies = spark.createDataFrame([boxed(i, f"story {i}", long) for i in range(12)], SCHEMA)
+    assert all("the body" in r.text for r in extract(bodies).collect())
 
 
 def test_copies_of_an_article_stay(spark):
