@@ -28,6 +28,8 @@ from .registry import query, table
 SAMPLE = 4_096
 PARTS = 32
 NEIGHBOURS = 10
+#: Different vectors of the sample in a part, at least: twice the neighbours that it is learned from.
+PART_ROWS = 2 * NEIGHBOURS
 RECALL = 0.97
 #: Rows and queries that meet in one unit of work, about.
 CELL_ROWS = 20_000
@@ -107,10 +109,11 @@ def balanced_parts(graph: np.ndarray, unit: np.ndarray, parts: int, seed: int =
 
 
 def fit_router(vectors: np.ndarray, parts: int = PARTS, recall: float = RECALL, seed: int = 1) -> Router:
-    """A router from sampled vectors. Few of them, or few different ones, give one part that holds all."""
+    """A router from sampled vectors. There are as many parts as hold ``PART_ROWS`` different ones each, ``parts`` at most."""
     unit = np.unique(unit_rows(vectors), axis=0) if len(vectors) else vectors
     dim = vectors.shape[1] if vectors.ndim == 2 else 0
-    if len(unit) < 20 * parts:
+    parts = min(parts, len(unit) // PART_ROWS)
+    if parts < 2:
         return Router(np.zeros((dim + 1, 1)), 1)
     graph = neighbour_graph(unit, NEIGHBOURS)
     label = balanced_parts(graph, unit, parts, seed)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from imgcurate.llm import learned_partitions
-from imgcurate.llm.learned_partitions import balanced_parts, nearest, neighbour_graph
+from imgcurate.llm.learned_partitions import balanced_parts, fit_router, nearest, neighbour_graph
 
 SCHEMA = "vec_id long, embedding array<double>, score string"
 
@@ -42,14 +42,26 @@ def test_recall(spark, monkeypatch, cell):
     assert all(abs(exact[q, v] - s) < 1e-12 for q, _, v, s in got if (q, v) in exact)
 
 
-def test_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_table(spark, scale):
+    df = spark.read.parquet(f"/root/testdata/sf{scale}/embeddings.parquet")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
     want = {(q, v) for q, _, v, _ in brute(rows)}
     got = {(r.query_id, r.vec_id) for r in nearest(df, df.where("vec_id % 50 = 0")).collect()}
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("n", [300, 500, 3_000])
+def test_routing_at_every_size(n):
+    """Clustered vectors are routed to few parts, however few there are."""
+    random = np.random.default_rng(5)
+    x = random.normal(size=(12, 16))[np.arange(n) % 12] + 0.05 * random.normal(size=(n, 16))
+    router = fit_router(x)
+    parts = router.weights.shape[1]
+    assert parts == min(32, n // 20)
+    assert router.probes <= parts // 2
+
+
 def test_ties_repeats_and_odd_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [(3, [1.0, 2.0])] * 40 + [(100, [1e200, 1e200]), (150, [1e-200, 0.0]), (7, [5.0, -1.0])]
