@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from imgcurate.session import written
 
@@ -27,45 +28,56 @@ KINDS = ("assign", "access", "hex", "generic")
 OWNERS = 2
 
 
-def found(text: Column, pattern: str, kind: str, least: int) -> Column:
-    """Array of ``(start, rank, kind, end, value)``, leftmost matches that do not overlap, in code points.
+def pieces(text: Column, pattern: str, kind: str, least: int) -> Column:
+    """Array of ``(rank, place, gap, own, counts, hash)``: what lies before each match and how long it is itself.
 
-    A text is its matches and what lies between them; the lengths of these give the places.
+    Matches are leftmost ones that do not overlap, lengths in code points. Those too short, or
+    too orderly for a generic value, do not count, but what follows them needs their lengths.
+    Null where there is no match.
     """
     whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
-    between = F.split(text, pattern, -1)
-    lengths = F.transform(F.arrays_zip(whole.alias("w"), between.alias("b")), lambda x: F.struct(F.length(F.coalesce(x["b"], F.lit(""))).alias("gap"), F.length(x["w"]).alias("own")))
-    none = F.array().cast("array<int>")
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("next"), none.alias("starts")),
-        lambda acc, x: F.struct((acc["next"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("next"), F.concat(acc["starts"], F.array(acc["next"] + x["gap"])).alias("starts")),
-    )["starts"]
-    rows = F.transform(
-        F.arrays_zip(whole.alias("w"), value.alias("v"), F.slice(starts, 1, F.size(whole)).alias("s")),
-        lambda x: F.struct(
-            x["s"].alias("start"),
+    random = lambda v: F.size(F.array_distinct(F.split(v, ""))) >= DIFFERENT
+    # A text is its matches and what lies between them; the last piece has no match behind it.
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+    made = F.transform(
+        F.arrays_zip(whole.alias("w"), value.alias("v"), between.alias("b")),
+        lambda x, i: F.struct(
             F.lit(KINDS.index(kind)).alias("rank"),
-            F.lit(kind).alias("kind"),
-            (x["s"] + F.length(x["w"])).alias("end"),
-            x["v"].alias("value"),
+            i.alias("place"),
+            F.length(x["b"]).alias("gap"),
+            F.length(x["w"]).alias("own"),
+            ((F.length(x["v"]) >= least) & (random(x["v"]) if kind == "generic" else F.lit(True))).alias("counts"),
+            F.xxhash64(x["v"]).alias("hash"),
         ),
     )
-    rows = F.filter(rows, lambda x: F.length(x["value"]) >= least)
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
-    return F.when(text.rlike(pattern), rows).otherwise(empty)
+    return F.when(text.rlike(pattern), made)
 
 
-def candidates(docs: DataFrame, text: str, owner: Column, repository: Column) -> DataFrame:
-    """``docs`` without its text, with ``base`` and ``generic``: arrays of spans with a hash of the value for the value."""
+def candidates(docs: DataFrame, text: str, owner: Column, repository: Column) -> tuple[DataFrame, DataFrame]:
+    """``docs`` without its text as ``(row_id, row)``, and ``(row_id, owner, repository, start, rank, kind, end, hash)`` for each span.
+
+    Places are running sums over the pieces of a text, and generic spans that overlap one of
+    the fixed kinds are told by the running maximum of their ends, so a text of very many matches
+    takes time in proportion, in windows that spill.
+    """
     col = F.coalesce(F.col(text), F.lit(""))
-    hashed = lambda spans: F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "kind", "end")], F.xxhash64(x["value"]).alias("hash")))
-    base = F.array_sort(F.concat(found(col, ASSIGN, "assign", 6), found(col, ACCESS, "access", 20), found(col, HEX, "hex", 24)))
-    looks_random = lambda x: F.size(F.array_distinct(F.split(x["value"], ""))) >= DIFFERENT
-    loose = F.filter(found(col, GENERIC, "generic", 20), lambda x: looks_random(x) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    kinds = [(ASSIGN, "assign", 6), (ACCESS, "access", 20), (HEX, "hex", 24), (GENERIC, "generic", 20)]
     names = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*names).alias("row"), owner.alias("_owner"), repository.alias("_repository"), hashed(base).alias("_base"), F.col(text))
-    return rows.select("row", "_owner", "_repository", F.col("_base").alias("base"), hashed(loose).alias("generic"))
+    held = F.array(*[pieces(col, *k) for k in kinds])
+    rows = docs.select(F.struct(*names).alias("row"), owner.alias("owner"), repository.alias("repository"), held.alias("held"))
+    # Written, so that the row numbers hold.
+    rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "candidates")
+    each = rows.select("row_id", "owner", "repository", F.explode("held").alias("own")).select("row_id", "owner", "repository", F.inline("own")).repartition("row_id")
+    before = Window.partitionBy("row_id", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("own")).over(before).cast("int")).where("counts")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    spans = each.select("row_id", "owner", "repository", (F.col("end") - F.col("own")).alias("start"), "rank", kind.alias("kind"), "end", "hash")
+    # A span of a fixed kind enters at its start, a generic one at its end, before those that start there.
+    fixed = F.col("kind") != "generic"
+    entered = Window.partitionBy("row_id").orderBy(F.when(fixed, F.col("start")).otherwise(F.col("end")), fixed).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(fixed, F.col("end"))).over(entered)
+    spans = spans.withColumn("reach", reach).where(fixed | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).drop("reach")
+    return rows.select("row_id", "row"), written(spans, "spans")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -85,11 +97,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, text: str = "text",
     alike; nulls count as an owner and a repository. An empty table gives an empty one. Columns
     of ``docs`` named as the new ones are replaced.
     """
-    rows = candidates(docs.drop("base", "found"), text, owner, repository)
-    # Written, so that the row numbers hold.
-    rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "candidates")
-    each = rows.select("row_id", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"), F.explode(F.concat("base", "generic")).alias("s"))
-    each = written(each.select("row_id", "owner", "repository", "s.*"), "spans")
+    rows, each = candidates(docs.drop("base", "found"), text, owner, repository)
     owned = written(ownership(each), "ownership")
     told = each.join(owned, "hash").withColumn("live", F.col("owners") <= owners).where((F.col("kind") != "generic") | F.col("live"))
     fields = ("start", "rank", "kind", "end", "owners", "repositories", "live")

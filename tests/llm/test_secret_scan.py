@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -69,6 +70,19 @@ def test_a_hot_value_and_empty_table(spark):
     assert scan(df.limit(0), F.col("owner"), F.col("owner")).count() == 0
 
 
+def test_very_many_matches_in_one_text(spark):
+    """200,000 matches, some of them under generic values, within a minute."""
+    word = "0123456789abcdef01234567 "
+    text = word * 200_000 + "zY3dE5fG7hJ9kL1m/0123456789abcdef01234567 zY3dE5fG7hJ9kL1m0qR2"
+    df = spark.createDataFrame([(1, text, "o"), (2, "", "o")], "doc_id long, text string, owner string")
+    began = time.monotonic()
+    out = {r.doc_id: (r.spans, r.last) for r in scan(df, F.col("owner"), F.col("owner")).select("doc_id", F.size("found").alias("spans"), F.try_element_at("found", F.lit(-1)).alias("last")).collect()}
+    assert time.monotonic() - began < 60
+    at = len(word) * 200_000
+    assert out[2] == (0, None)
+    assert out[1][0] == 200_002 and (out[1][1].kind, out[1][1].start, out[1][1].end) == ("generic", at + 42, at + 62)
+
+
 def test_no_python_runs(spark):
     plan = QUERIES["op3_secret_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
