@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from imgcurate.session import written
 
@@ -27,6 +28,8 @@ from .keys import KEY, document_key
 from .registry import query, table
 
 MIN_WORDS = 50
+#: More shifts between two texts than this are extended by numbered blocks.
+FEW_SHIFTS = 16
 
 
 def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,34 +128,81 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select(*document_key(), "text").mapInArrow(run, schema)
 
 
-def matched_runs(later: bytes, earlier: bytes, shift: int, seeds: list[int]) -> list[tuple[int, int]]:
-    """Runs ``[low, high)`` of lines of ``later`` equal to those ``shift`` before in ``earlier``, each holding a seed."""
+def _block_classes(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each power of two, numbers of the blocks of so many lines in both texts; equal blocks have equal numbers."""
+    _, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+    levels = [(number[: len(x)], number[len(x) :])]
+    size = 1
+    while 2 * size <= min(len(x), len(y)):
+        joined = [own[:-size].astype(np.int64) * (len(x) + len(y)) + own[size:] for own in levels[-1]]
+        _, number = np.unique(np.concatenate(joined), return_inverse=True)
+        number = number.astype(np.int32)
+        levels.append((number[: len(joined[0])], number[len(joined[0]) :]))
+        size *= 2
+    return levels
+
+
+def _reached(levels: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray, firsts: np.ndarray, back: bool) -> np.ndarray:
+    """How many lines are equal from places on, or before them if ``back``; longest blocks first."""
+    i, j = starts.copy(), firsts.copy()
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = levels[k]
+        a, b = (i - (1 << k), j - (1 << k)) if back else (i, j)
+        some = np.flatnonzero((a >= 0) & (b >= 0) & (a < len(x)) & (b < len(y)))
+        some = some[x[a[some]] == y[b[some]]]
+        step = -(1 << k) if back else 1 << k
+        i[some] += step
+        j[some] += step
+    return np.abs(i - starts)
+
+
+def matched_runs(later: bytes, earlier: bytes, starts: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``[low, high)`` of lines of ``later``, apart and ascending, that hold a start and are equal to ``earlier`` around its first place.
+
+    Few shifts are compared line by line, each whole; many would make this the square of the
+    lines, so there blocks of lines are numbered and every start is extended by them.
+    """
     x, y = np.frombuffer(later, np.uint64), np.frombuffer(earlier, np.uint64)
-    low, high = max(0, shift), min(len(x), len(y) + shift)
-    equal = np.concatenate([[False], x[low:high] == y[low - shift : high - shift], [False]])
-    edges = np.flatnonzero(equal[1:] != equal[:-1]) + low
-    at = np.unique(np.searchsorted(edges, np.array(seeds), side="right")) - 1
-    return [(int(edges[k]), int(edges[k + 1])) for k in at]
+    shifts = np.unique(starts - firsts)
+    if len(shifts) <= FEW_SHIFTS:
+        runs = []
+        for shift in shifts.tolist():
+            low, high = max(0, shift), min(len(x), len(y) + shift)
+            equal = np.concatenate([[False], x[low:high] == y[low - shift : high - shift], [False]])
+            edges = np.flatnonzero(equal[1:] != equal[:-1]) + low
+            at = np.unique(np.searchsorted(edges, starts[starts - firsts == shift], side="right")) - 1
+            runs.append(np.stack([edges[at], edges[at + 1]]))
+        low, high = np.concatenate(runs, axis=1)
+    else:
+        levels = _block_classes(x, y)
+        low, high = starts - _reached(levels, starts, firsts, True), starts + _reached(levels, starts, firsts, False)
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    return low[new], high[np.append(new[1:], len(low)) - 1]
 
 
 def _extended(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "first_lines"):
-                rows, which, low, high = part.to_pydict(), [], [], []
-                matches = zip(rows["lines"], rows["first_lines"], rows["shift"], rows["seeds"], strict=True)
-                for k, match in enumerate(matches):
-                    for a, b in matched_runs(*match):
-                        which.append(k)
-                        low.append(a)
-                        high.append(b)
-                which = pa.array(which, pa.int32())
+                which, low, high = [], [], []
+                seeds = part.column("seeds")
+                offsets = seeds.offsets.to_numpy()
+                places = [seeds.values.field(name).to_numpy() for name in ("start", "first_start")]
+                for k in range(part.num_rows):
+                    own = [p[offsets[k] : offsets[k + 1]].astype(np.int64) for p in places]
+                    a, b = matched_runs(part.column("lines")[k].as_py(), part.column("first_lines")[k].as_py(), *own)
+                    which.append(np.full(len(a), k, np.int32))
+                    low.append(a)
+                    high.append(b)
+                which = pa.array(np.concatenate(which))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(which), part.column("tie").take(which), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
+                    [part.column("id").take(which), part.column("tie").take(which), *(pa.array(np.concatenate(v).astype(np.int32)) for v in (low, high))],
                     names=["id", "tie", "low", "high"],
                 )
 
-    wanted = pairs.select("id", "tie", "lines", "first_lines", "shift", "seeds")
+    wanted = pairs.select("id", "tie", "lines", "first_lines", "seeds")
     return wanted.mapInArrow(run, "id long, tie long, low int, high int")
 
 
@@ -176,25 +226,16 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seeds = (
         seen.join(first, "content")
         .where("id != first_id or tie != first_tie or start != first_start")
-        .groupBy(*KEY, "first_id", "first_tie", (F.col("start") - F.col("first_start")).alias("shift"))
-        .agg(F.collect_set("start").alias("seeds"))
+        .groupBy(*KEY, "first_id", "first_tie")
+        .agg(F.collect_list(F.struct("start", "first_start")).alias("seeds"))
     )
     earlier = own.select(F.col("id").alias("first_id"), F.col("tie").alias("first_tie"), F.col("lines").alias("first_lines"))
     pairs = seeds.join(own, KEY).join(earlier, ["first_id", "first_tie"])
-    runs = _extended(pairs).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("runs"))
-    none = F.array().cast("array<int>")
-    merged = F.aggregate(
-        "runs",
-        F.struct(F.lit(0).alias("next"), none.alias("deleted")),
-        lambda acc, r: F.when(
-            r["high"] > acc["next"],
-            F.struct(
-                r["high"].alias("next"),
-                F.concat(acc["deleted"], F.sequence(F.greatest(acc["next"], r["low"]), r["high"] - 1)).alias("deleted"),
-            ),
-        ).otherwise(acc),
-    )
-    return written(runs.select(*KEY, merged["deleted"].alias("deleted")), "deleted")
+    # What a run adds to those that begin before it.
+    before = F.max("high").over(Window.partitionBy(*KEY).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+    runs = _extended(pairs).withColumn("low", F.greatest(F.col("low"), before)).where("low < high")
+    places = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("low", "high"))), lambda r: F.sequence(r["low"], r["high"] - 1)))
+    return written(runs.groupBy(*KEY).agg(places.alias("deleted")), "deleted")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,8 +1,13 @@
 """Line dedup against a brute-force version, and its edge cases."""
 
 import random
+import time
 
-from imgcurate.llm.line_dedup import dedup_lines
+import numpy as np
+import pytest
+
+from imgcurate.llm import line_dedup
+from imgcurate.llm.line_dedup import dedup_lines, matched_runs
 
 SCHEMA = "doc_id long, text string, lines string, n_lines string"
 
@@ -55,6 +60,40 @@ def test_equals_brute_force(spark):
         assert all(r.lines == "x" for r in got)
 
 
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_runs_of_two_texts(monkeypatch, few):
+    """Both ways of extending give all lines that a match from a start covers."""
+    monkeypatch.setattr(line_dedup, "FEW_SHIFTS", few)
+    rng = random.Random(8)
+    for _ in range(300):
+        x, y = ([rng.randint(0, rng.choice((0, 1, 3))) for _ in range(rng.randint(1, 40))] for _ in range(2))
+        equal = [(i, j) for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]]
+        if not equal:
+            continue
+        seeds = rng.sample(equal, rng.randint(1, min(30, len(equal))))
+        want = set()
+        for i, j in seeds:
+            low = high = 0
+            while i - low > 0 and j - low > 0 and x[i - low - 1] == y[j - low - 1]:
+                low += 1
+            while i + high < len(x) and j + high < len(y) and x[i + high] == y[j + high]:
+                high += 1
+            want.update(range(i - low, i + high))
+        runs = matched_runs(np.array(x, np.uint64).tobytes(), np.array(y, np.uint64).tobytes(), *(np.array(v) for v in zip(*seeds, strict=True)))
+        got = [k for a, b in zip(*runs, strict=True) for k in range(a, b)]
+        assert got == sorted(want)
+
+
+def test_many_equal_lines(spark):
+    """A text of 100,000 equal lines, and one of two lines in turn, within a minute."""
+    rows = [(1, "\n".join(["one line of five words"] * 100_000)), (2, "\n".join(["a b c", "d e f"] * 20_000))]
+    df = spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)
+    began = time.monotonic()
+    got = {r.doc_id: (r.text, r.n_deleted) for r in dedup_lines(df).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {1: ("one line of five words", 99_999), 2: ("a b c\nd e f", 39_998)}
+
+
 def test_edges(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     long = "\n".join(f"line {i} of a long text" for i in range(20_000))
