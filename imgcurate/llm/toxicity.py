@@ -8,7 +8,7 @@ hardly do. The examples, a bounded sample, lie in an inverted index whose postin
 into blocks of examples. The largest weight of a term in a block bounds what any example there
 can reach, so only blocks that can hold a near enough example are visited. The result is exact. Near examples vote, weighted by cosine and by how rarely their label was
 sampled; votes are calibrated on the examples themselves, each judged by the others, and
-those with most weight are given as evidence.
+they are given as evidence, with all ties of the last.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,11 @@ WEAKEST = 0.1
 #: So many blocks are visited first; their nearest examples rule out others.
 FIRST_BLOCKS = 4
 TABLE_WORDS = 300_000
+#: Posting lists that are kept as rows of a matrix.
+COMMON = 256
+#: Terms and texts that are scored at once; a longer text is scored alone.
+SLICE_TERMS = 1 << 15
+SLICE_TEXTS = 128
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -63,7 +70,7 @@ class TermTable:
     """Term numbers of texts; what a distinct word holds is looked up once while it is in the table."""
 
     def __init__(self, vocabulary: dict[str, int], most: int = TABLE_WORDS):
-        self.vocabulary, self.most, self.held = vocabulary, most, {}
+        self.vocabulary, self.most = vocabulary, most
         # Terms that count only by repetition have numbers behind those of the vocabulary.
         self.bases: dict[str, int] = {}
         repeated: list[tuple[int, int, int]] = []
@@ -73,29 +80,69 @@ class TermTable:
                 own = vocabulary.get(base)
                 own = self.bases.setdefault(base, len(vocabulary) + len(self.bases)) if own is None else own
                 repeated.append((own, int(level), number))
-        self.levels: dict[int, list[tuple[int, int]]] = {}
-        for base, level, number in repeated:
-            self.levels.setdefault(base, []).append((level, number))
+        self.numbers = len(vocabulary) + len(self.bases)
+        made = np.array(sorted(repeated), np.int64).reshape(-1, 3)
+        self.level, self.leveled = made[:, 1], made[:, 2]
+        self.level_start = np.searchsorted(made[:, 0], np.arange(self.numbers + 1))
+        self._clear()
 
-    def _numbers(self, word: str) -> tuple[int, ...]:
+    def _clear(self) -> None:
+        self.held: dict[str, int] = {}
+        self.starts, self.terms = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, word: str) -> list[int]:
         found = [self.vocabulary.get(t, self.bases.get(t)) for t in terms_of(word)]
-        return tuple(n for n in found if n is not None)
+        return [n for n in found if n is not None]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words enter the table, which is emptied first where they would be too many."""
+        distinct = dict.fromkeys(words)
+        new = [w for w in distinct if w not in self.held]
+        if len(self.held) + len(new) > self.most:
+            self._clear()
+            new = list(distinct)
+        if new:
+            found = [self._numbers(w) for w in new]
+            self.held.update(zip(new, range(len(self.held), len(self.held) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(f) for f in found])])
+            self.terms = np.concatenate([self.terms, np.array(list(chain.from_iterable(found)), np.int64)])
+
+    def of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of the texts' terms, the terms' numbers, ascending in a text, and their counts."""
+        words = [WORD.findall(t.lower()) for t in texts]
+        flat = list(chain.from_iterable(words))
+        self._learn(flat)
+        number = np.fromiter(map(self.held.__getitem__, flat), np.int64, len(flat))
+        doc = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        key, count = np.unique(doc * max(1, len(self.held)) + number, return_counts=True)
+        doc, number = np.divmod(key, max(1, len(self.held)))
+        starts, ends = self.starts[number], self.starts[number + 1]
+        doc, count = np.repeat(doc, ends - starts), np.repeat(count, ends - starts)
+        doc, term, count = _summed(doc, self.terms[_ranges(starts, ends)], count, self.numbers)
+        if len(self.level):
+            starts, ends = self.level_start[term], self.level_start[term + 1]
+            at = _ranges(starts, ends)
+            often = np.repeat(count, ends - starts) >= self.level[at]
+            own = np.repeat(doc, ends - starts)[often]
+            doc, term = np.concatenate([doc, own]), np.concatenate([term, self.leveled[at[often]]])
+            count = np.concatenate([count, np.ones(len(own), np.int64)])
+            doc, term, count = _summed(doc, term, count, self.numbers)
+        kept = term < len(self.vocabulary)
+        return np.searchsorted(doc[kept], np.arange(len(texts) + 1)), term[kept], count[kept]
 
     def counts(self, text: str) -> dict[int, int]:
-        words = Counter(WORD.findall(text.lower()))
-        missing = [w for w in words if w not in self.held]
-        if len(self.held) + len(missing) > self.most:
-            self.held, missing = {}, list(words)
-        for w in missing:
-            self.held[w] = self._numbers(w)
-        seen: dict[int, int] = {}
-        for w, n in words.items():
-            for t in self.held[w]:
-                seen[t] = seen.get(t, 0) + n
-        out = {t: n for t, n in seen.items() if t < len(self.vocabulary)}
-        for t in self.levels.keys() & seen.keys():
-            out.update((number, 1) for level, number in self.levels[t] if seen[t] >= level)
-        return out
+        _, terms, counts = self.of_texts([text])
+        return dict(zip(terms.tolist(), counts.tolist(), strict=True))
+
+
+def _summed(doc: np.ndarray, term: np.ndarray, count: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts summed by text and term, in order."""
+    key = doc * max(1, terms) + term
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    total = np.add.reduceat(count[order], first) if len(first) else count[:0]
+    return *np.divmod(key[first], max(1, terms)), total
 
 
 @dataclass(frozen=True)
@@ -142,49 +189,85 @@ class BlockMaxIndex:
         self.part_start = np.append(first, len(terms))
         self.part_top = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.term_part = np.searchsorted(terms[first], np.arange(len(idf) + 1))
+        # The longest posting lists are kept as rows of a matrix, whose products are faster.
+        length = np.diff(self.part_start[self.term_part])
+        common = np.argsort(-length, kind="stable")[:COMMON]
+        self.slot = np.full(len(idf), -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(keys)))
+        at = np.flatnonzero(self.slot[terms] >= 0)
+        self.dense[self.slot[terms[at]], self.rows[at]] = self.weights[at]
+        self.dense_top = np.maximum.reduceat(self.dense, np.arange(0, len(keys), block), axis=1) if keys else np.zeros((len(common), 0))
 
     def weigh(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> np.ndarray:
         w = (1 + np.log(np.array(counts, float))) * self.idf[np.array(terms, np.int64)]
         return w / np.sqrt((w * w).sum())
 
-    def _visit(self, parts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What parts of posting lists add to the cosine of every group."""
+    def _visit(self, scores: np.ndarray, dense: np.ndarray, rare: tuple[np.ndarray, ...], visited: np.ndarray) -> None:
+        """Adds to ``scores`` what the visited blocks of each text hold: rare terms by parts of posting lists, common ones by products."""
+        doc, parts, weights = (x[visited[rare[0], self.part_block[rare[1]]]] for x in rare)
         starts, ends = self.part_start[parts], self.part_start[parts + 1]
         at = _ranges(starts, ends)
-        return np.bincount(self.rows[at], np.repeat(weights, ends - starts) * self.weights[at], len(self.groups))
-
-    def _floor(self, scores: np.ndarray, own: np.ndarray, k: int) -> float:
-        """The cosine of the ``k``-th nearest example, 0 if fewer have one above 0."""
-        # All but one group hold an example that counts, so k + 1 of them are enough.
-        least = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else 0.0
-        some = np.flatnonzero((scores >= least) & (scores > 0))
-        some = some[np.argsort(-scores[some], kind="stable")]
-        reached = np.flatnonzero(np.cumsum(own[some]) >= k)
-        return float(scores[some[reached[0]]]) if len(reached) else 0.0
+        place = np.repeat(doc * scores.shape[1], ends - starts) + self.rows[at]
+        scores += np.bincount(place, np.repeat(weights, ends - starts) * self.weights[at], scores.size).reshape(scores.shape)
+        for b in np.flatnonzero(visited.any(axis=0)):
+            some = np.flatnonzero(visited[:, b])
+            own = slice(b * self.block, (b + 1) * self.block)
+            scores[some, own] += dense[some] @ self.dense[:, own]
+
+    def nearest_of(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int = NEAREST, but: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the groups of equal examples by falling cosine until they are ``k`` examples, with all ties of the last, and their cosines above 0.
+
+        ``but`` names for each text the example that does not count.
+        """
+        n, groups = len(offsets) - 1, len(self.groups)
+        if not groups:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        doc = np.repeat(np.arange(n), np.diff(offsets))
+        w = (1 + np.log(counts.astype(float))) * self.idf[terms]
+        w /= np.sqrt(np.bincount(doc, w * w, n))[doc]
+        slot = self.slot[terms]
+        has, lacks = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+        dense = np.zeros((n, len(self.dense)))
+        dense[doc[has], slot[has]] = w[has]
+        first, last = self.term_part[terms[lacks]], self.term_part[terms[lacks] + 1]
+        parts = _ranges(first, last)
+        rare = np.repeat(doc[lacks], last - first), parts, np.repeat(w[lacks], last - first)
+        bounds = np.bincount(rare[0] * self.blocks + self.part_block[parts], rare[2] * self.part_top[parts], n * self.blocks)
+        bounds = bounds.reshape(n, self.blocks) + dense @ self.dense_top
+        now = np.zeros(bounds.shape, bool)
+        np.put_along_axis(now, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        scores = np.zeros((n, groups))
+        self._visit(scores, dense, rare, now)
+        # Every group holds an example, but one that may hold only the one that does not count.
+        most = k + (but is not None)
+        least = lambda: np.partition(scores, groups - most, axis=1)[:, groups - most] if groups > most else np.zeros(n)
+        rest = ~now & (bounds > 0) & (bounds >= least()[:, None] - 1e-9)
+        if rest.any():
+            self._visit(scores, dense, rare, rest)
+        row, group = np.nonzero((scores > 0) & (scores >= least()[:, None] - 1e-9))
+        cut = np.searchsorted(row, np.arange(n + 1))
+        out = []
+        for i in range(n):
+            some = group[cut[i] : cut[i + 1]]
+            own = scores[i, some]
+            order = np.argsort(-own, kind="stable")
+            some, own = some[order], own[order]
+            size = self.sizes[some]
+            if but is not None and but[i] in self.of:
+                size = size - np.isin(some, self.of[but[i]])
+                some, own, size = some[size > 0], own[size > 0], size[size > 0]
+            reached = int(np.searchsorted(np.cumsum(size), k))
+            if reached < len(own):
+                stop = int(np.searchsorted(-own, -(own[reached] - 1e-9), side="right"))
+                some, own = some[:stop], own[:stop]
+            out.append((some, own))
+        return out
 
     def nearest(self, terms: tuple[int, ...], counts: tuple[int, ...], k: int = NEAREST, but: int | None = None) -> list[tuple[float, list[Example]]]:
-        """Groups of equal examples by falling cosine until they are ``k`` examples, with all ties of the last; cosines are above 0."""
-        if not self.groups:
-            return []
-        weights, numbers = self.weigh(terms, counts), np.array(terms, np.int64)
-        first, last = self.term_part[numbers], self.term_part[numbers + 1]
-        parts, weights = _ranges(first, last), np.repeat(weights, last - first)
-        block = self.part_block[parts]
-        bounds = np.bincount(block, weights * self.part_top[parts], self.blocks)
-        own = self.sizes
-        if but in self.of:
-            own = own.copy()
-            own[self.of[but]] -= 1
-        best = np.argsort(-bounds, kind="stable")
-        now = np.zeros(self.blocks, bool)
-        now[best[:FIRST_BLOCKS]] = True
-        scores = self._visit(parts[now[block]], weights[now[block]])
-        rest = ~now & (bounds > 0) & (bounds >= self._floor(scores, own, k) - 1e-9)
-        if rest.any():
-            scores += self._visit(parts[rest[block]], weights[rest[block]])
-        some = np.flatnonzero((scores > 0) & (scores >= self._floor(scores, own, k) - 1e-9) & (own > 0))
-        some = some[np.lexsort((some, -scores[some]))]
-        return [(float(scores[g]), [e for e in self.groups[g] if e.doc_id != but]) for g in some]
+        """The nearest groups of one text, as cosines and the examples that they stand for."""
+        (groups, scores), *_ = self.nearest_of(np.array([0, len(terms)]), np.array(terms, np.int64), np.array(counts, np.int64), k, None if but is None else [but])
+        return [(s, [e for e in self.groups[g] if e.doc_id != but]) for g, s in zip(groups.tolist(), scores.tolist(), strict=True)]
 
 
 def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,16 +305,23 @@ class Voter:
                 total[e.label] += score * self.weight[e.label]
         return total[1] / sum(total) if sum(total) else self.plain
 
+    def scores(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> list[tuple[float, list[dict]]]:
+        """The calibrated score of each text, and the nearest examples as evidence."""
+        out = []
+        for k, (groups, cosines) in enumerate(self.index.nearest_of(offsets, terms, counts)):
+            if offsets[k] == offsets[k + 1]:
+                out.append((self.plain, []))
+                continue
+            near = [(s, self.index.groups[g]) for g, s in zip(groups.tolist(), cosines.tolist(), strict=True)]
+            vote = self.vote(near)
+            # A little of the vote keeps apart what one step of the calibration joins.
+            score = 0.98 * float(np.interp(vote, *self.steps)) + 0.02 * vote
+            out.append((score, [{"doc_id": e.doc_id, "cosine": s, "label": e.label} for s, own in near for e in own]))
+        return out
+
     def score(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> tuple[float, list[dict]]:
-        """The calibrated score, and the nearest examples as evidence."""
-        if not terms:
-            return self.plain, []
-        near = self.index.nearest(terms, counts)
-        vote = self.vote(near)
-        # A little of the vote keeps apart what one step of the calibration joins.
-        score = 0.98 * float(np.interp(vote, *self.steps)) + 0.02 * vote
-        evidence = [{"doc_id": e.doc_id, "cosine": s, "label": e.label} for s, own in near for e in own][:NEAREST]
-        return score, evidence
+        """The score and the evidence of one text."""
+        return self.scores(np.array([0, len(terms)]), np.array(terms, np.int64), np.array(counts, np.int64))[0]
 
 
 def _distinct(sample: DataFrame) -> DataFrame:
@@ -302,9 +392,8 @@ def with_terms(df: DataFrame, vocabulary: dict[str, int], text: str = "text") ->
         held = TermTable(shared.value)
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(held.counts(t or "").items()) for t in part.column(text).to_pylist()]
-            terms = pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32()))
-            counts = pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))
+            offsets, *found = held.of_texts([t or "" for t in part.column(text).to_pylist()])
+            terms, counts = (pa.ListArray.from_arrays(offsets.astype(np.int32), v.astype(np.int32)) for v in found)
             return with_arrays(part, names, terms=terms, counts=counts)
 
         return step
@@ -339,9 +428,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [voter.value.score(tuple(t), tuple(n)) for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)], names=["doc_id", "score", "evidence"])
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))])
+            terms, counts = (batch.column(c).flatten().to_numpy() for c in ("terms", "counts"))
+            start = 0
+            while start < batch.num_rows:
+                stop = int(np.searchsorted(offsets, offsets[start] + SLICE_TERMS, side="right")) - 1
+                stop = min(max(stop, start + 1), start + SLICE_TEXTS)
+                low, high = offsets[start], offsets[stop]
+                found = voter.value.scores(offsets[start : stop + 1] - low, terms[low:high], counts[low:high])
+                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+                ids = batch.column("doc_id").slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)], names=["doc_id", "score", "evidence"])
+                start = stop
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>"
     scored = rows.mapInArrow(run, kind)

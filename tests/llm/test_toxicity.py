@@ -97,7 +97,7 @@ def test_rare_words_tell(spark):
         labels.append((i, int(toxic)))
     out = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     got = [r for r in out.collect() if r.held_out]
-    assert len(got) > 100 and all(len(r.evidence) == 10 for r in got)
+    assert len(got) > 100 and all(len(r.evidence) >= 10 for r in got)
     assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in got]) > 0.95
 
 
