@@ -1,4 +1,4 @@
-"""Comparison of all rows of a group with each other, in blocks of bounded size."""
+"""Comparison of the rows of a group with those of other kinds, in blocks of bounded size."""
 
 from __future__ import annotations
 
@@ -31,19 +31,23 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def blocked(members: DataFrame, group: str, member: str, block: int) -> DataFrame:
-    """``members`` of groups of two and more, dealt to pairs of blocks; ``unit`` names a pair.
+def crossed(members: DataFrame, group: str, member: str, kind: str, block: int) -> DataFrame:
+    """``members`` of groups with two kinds and more, dealt so that members of different kinds meet; ``unit`` names a meeting.
 
-    ``members`` must be a written table of distinct rows. A group of up to ``block`` members is
-    one unit. A larger one is cut into blocks by a hash of ``member``, and each two blocks meet
-    in a unit, so a unit holds about two blocks whatever the size of its group.
+    ``members`` must be a written table of distinct rows. The largest kind of a group meets the
+    others but not itself, so a group of one kind is not dealt at all, and a large kind with few
+    others costs its own size times those. Both sides are cut into blocks by a hash of
+    ``member``; a unit holds about two blocks, whatever the size of its group.
     """
-    counts = written(members.groupBy(group).agg(F.count("*").alias("members")).where("members > 1"), "group-sizes")
-    dealt = members.join(counts, group).withColumn("blocks", F.ceil(F.col("members") / block))
-    own = F.pmod(F.xxhash64(member), F.col("blocks"))
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.withColumn("unit", unit).drop("members", "blocks", "own", "other")
+    sizes = members.groupBy(group, kind).agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy(group).agg(F.sum("size").alias("all"), F.max(F.struct("size", kind)).alias("most"), F.count("*").alias("kinds"))
+    sizes = written(sizes.where("kinds > 1").select(group, "all", F.col("most.size").alias("most"), F.col(f"most.{kind}").alias("main")), "group-sizes")
+    dealt = members.join(sizes, group).withColumn("_all", F.ceil(F.col("all") / block)).withColumn("_rest", F.ceil((F.col("all") - F.col("most")) / block))
+    place = F.xxhash64(member)
+    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_rest") - 1), lambda i: F.xxhash64(group, i, F.pmod(place, F.col("_all"))))
+    along = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1), lambda j: F.xxhash64(group, F.pmod(place, F.col("_rest")), j))
+    units = F.when(F.col(kind) == F.col("main"), across).otherwise(F.array_union(across, along))
+    return dealt.withColumn("unit", F.explode(units)).drop("all", "most", "main", "_all", "_rest")
 
 
 def linked(units: DataFrame, link: Callable[[pa.Table], np.ndarray], member: str) -> DataFrame:

@@ -3,14 +3,17 @@
 1. Equal sets are one set from here on.
 2. Shingles are ordered, frequent ones last, by counters of fixed number over all documents.
    Sets that are similar enough share one of their first shingles (prefix filter), so these
-   are indexed. A list of the index is not compared pair by pair: its sets all point to its
-   smallest one, and sets with a common pointer may be similar.
-3. Lists are cut into blocks, and a block skips positions by size and by a bitmap of each set
-   that bounds the difference of two sets from below. What remains is a few clusters.
-4. Within a cluster sets are highly similar. Their overlaps are had from one another: each
-   set is told by which of the cluster's shared shingles it has, and all overlaps of two
-   blocks come from one product of these matrices. No shingle that only one set has is
-   looked at again.
+   are indexed with the set's size and the place of the shingle in the set. A list is sorted by
+   size. Size and place bound the sizes that a set can be similar to by this shingle; the list is
+   cut into blocks that no bound reaches across, and places that bound a set below its block
+   are skipped. A block is not compared pair by pair: its sets all point to its smallest one, and
+   sets with a common pointer may be similar.
+3. Each set is compared with one representative, the set it points to most often. Those that
+   link make classes, in work that grows with the number of sets.
+4. A list or cluster of one class is skipped. In others only sets of different classes meet,
+   first by a bitmap that bounds the difference of two sets from below, then by their
+   shingles. There a set is counted against one member of a class; its overlaps with the others
+   follow from that answer and from the shingles in which they differ from that member.
 
 Every step is exact; hashes are of 60 bits and more.
 """
@@ -28,7 +31,7 @@ from imgcurate.session import written
 
 from .arrow import give_back, slices, text_bytes
 from .components import components
-from .groups import blocked, linked, runs_of
+from .groups import crossed, linked, runs_of
 from .hashing import hashes, mix, shingles, spans
 from .keys import KEY, document_key
 from .registry import query, table
@@ -37,9 +40,10 @@ SIZE = 5
 PERCENT = 75
 #: Counters that tell frequent shingles from others; more of them tell them apart better.
 COUNTERS_LOG2 = 20
-#: Blocks of sets that are compared at once, as bitmaps and as whole texts.
+#: Blocks of sets that are compared at once, as bitmaps and as whole texts; sets that one representative meets at once.
 MAP_BLOCK = 1024
 TEXT_BLOCK = 256
+MET_BLOCK = 512
 BITS_MOST = 1 << 16
 
 
@@ -137,18 +141,46 @@ def document_sets(docs: DataFrame, classes: np.ndarray, size: int, percent: int)
     return docs.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, id long, tie long, set_id long, n long, map binary, prefix binary")
 
 
-def pointers(sets: DataFrame, buckets: int) -> DataFrame:
-    """``(leader, set_id)``: a set points to the smallest set of each list of the index that holds it and another."""
+def reach(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The largest size of a similar set whose first common shingle with a set of ``n`` is at ``place``.
+
+    No more than ``n - place`` shingles are common then.
+    """
+    return ((100 + percent) * (n - place) - percent * n) // percent
+
+
+def list_blocks(token: np.ndarray, n: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of lists sorted by token and size, of which no set reaches across; and the places that are not skipped.
+
+    Two sets of sizes ``n <= m`` meet only where ``m`` is within the first one's reach and ``n`` within the second one's.
+    """
+    first = np.concatenate([[True], token[1:] != token[:-1]])
+    rank = np.cumsum(first)
+    width = np.int64(max(int(n.max()), int(far.max())) + 2)
+    most = np.maximum.accumulate(np.maximum(far, 0) + rank * width) - rank * width
+    cut = first.copy()
+    cut[1:] |= most[:-1] < n[1:]
+    block = np.cumsum(cut) - 1
+    return block, far >= n[np.flatnonzero(cut)][block]
+
+
+def pointers(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """``(leader, set_id, times)``: a set points to the smallest set of each block of a list that holds it and another."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "prefix", 1 << 20):
                 tokens = [np.frombuffer(b, np.uint64) for b in part.column("prefix").to_pylist()]
-                owner = np.repeat(part.column("set_id").to_numpy(), [len(t) for t in tokens])
+                lengths = np.array([len(t) for t in tokens])
+                owner = np.repeat(part.column("set_id").to_numpy(), lengths)
+                n = np.repeat(part.column("n").to_numpy(), lengths)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                far = reach(n, place, percent)
                 token = np.concatenate(tokens)
                 bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 token, owner, bucket = token[order], owner[order], bucket[order]
+                sizes = np.stack([n, far], axis=1)[order].astype(np.int32)
                 cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
                 pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -156,32 +188,90 @@ def pointers(sets: DataFrame, buckets: int) -> DataFrame:
                         pa.array(bucket[cuts[:-1]].astype(np.int32)),
                         pa.array([token[a:b].tobytes() for a, b in pairs], pa.binary()),
                         pa.array([owner[a:b].tobytes() for a, b in pairs], pa.binary()),
+                        pa.array([sizes[a:b].tobytes() for a, b in pairs], pa.binary()),
                     ],
-                    names=["bucket", "tokens", "owners"],
+                    names=["bucket", "tokens", "owners", "sizes"],
                 )
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_of(batches, "bucket"):
             token = np.concatenate([np.frombuffer(b, np.uint64) for b in rows.column("tokens").to_pylist()])
             owner = np.concatenate([np.frombuffer(b, np.int64) for b in rows.column("owners").to_pylist()])
-            order = np.lexsort((owner, token))
-            token, owner = token[order], owner[order]
-            first = np.concatenate([[True], token[1:] != token[:-1]])
-            leader = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
+            n, far = np.concatenate([np.frombuffer(b, np.int32) for b in rows.column("sizes").to_pylist()]).reshape(-1, 2).T.astype(np.int64)
+            order = np.lexsort((n, token))
+            token, owner, n, far = token[order], owner[order], n[order], far[order]
+            block, stays = list_blocks(token, n, far)
+            block, owner = block[stays], owner[stays]
+            if not len(owner):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            leader = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(block))))
             some = np.flatnonzero(owner != leader)
             if not len(some):
                 continue
-            pairs = np.unique(np.stack([leader[some], owner[some]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "set_id"])
+            pairs, times = np.unique(np.stack([leader[some], owner[some]], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times)], names=["leader", "set_id", "times"])
+
+    dealt = sets.select("set_id", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, owners binary, sizes binary")
+    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lists, "leader long, set_id long, times long")
+    return written(found.groupBy("leader", "set_id").agg(F.sum("times").alias("times")), "pointers")
+
+
+def set_keys(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    """The set of each row of a slice, sorted."""
+    value, cuts = hashed_sets(part, size)
+    value = value >> np.uint64(4)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield np.unique(value[a:b])
+
+
+def met(found: DataFrame) -> DataFrame:
+    """``(unit, set_id, led)``: each set with the one it points to most often, of equal ones the smallest, in bounded units.
+
+    A representative comes into each of its units once, with ``led`` false.
+    """
+    best = found.groupBy("set_id").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("leader"))
+    best = written(best, "representatives")
+    counts = best.groupBy("leader").agg(F.ceil(F.count("*") / MET_BLOCK).alias("blocks"))
+    own = best.join(counts, "leader").select("leader", "set_id", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"))
+    lead = counts.select("leader", F.col("leader").alias("set_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    both = own.withColumn("led", F.lit(True)).unionByName(lead.withColumn("led", F.lit(False)))
+    return both.select(F.xxhash64("leader", "block").alias("unit"), "set_id", "led")
 
-    dealt = sets.select("set_id", "prefix").mapInArrow(deal, "bucket int, tokens binary, owners binary")
-    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lists, "leader long, set_id long")
-    found = written(found.distinct(), "pointers")
-    return found.unionByName(found.select("leader", F.col("leader").alias("set_id")).distinct())
+
+def linked_with_representatives(units: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(a, b)``: sets that are similar to their representatives. Of a unit, only the representative's set is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, lead, held = None, None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                a, b = [], []
+                names = zip(part.column("unit").to_pylist(), part.column("set_id").to_pylist(), part.column("led").to_pylist(), set_keys(part, size), strict=True)
+                for at, name, led, own in names:
+                    if not led:
+                        unit, lead, held = at, name, own
+                        continue
+                    if at != unit:
+                        raise ValueError("a representative's text is missing")
+                    common = int(np.count_nonzero(own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held))
+                    if 100 * common >= percent * (len(own) + len(held) - common):
+                        a.append(name)
+                        b.append(lead)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
+
+    return units.repartition("unit").sortWithinPartitions("unit", "led").mapInArrow(run, "a long, b long")
+
+
+def other_kinds(rows: pa.Table) -> np.ndarray:
+    kind = rows.column("kind").to_numpy()
+    return kind[:, None] != kind[None, :]
 
 
 def may_be_similar(rows: pa.Table, percent: int) -> np.ndarray:
-    """Which sets of a unit their sizes and bitmaps leave to be similar."""
+    """Which sets of different classes in a unit their sizes and bitmaps leave to be similar."""
     n = rows.column("n").to_numpy()
     maps = [np.frombuffer(b, np.uint8) for b in rows.column("map").to_pylist()]
     bits = 8 * np.array([len(m) for m in maps])
@@ -201,40 +291,51 @@ def may_be_similar(rows: pa.Table, percent: int) -> np.ndarray:
         fits = (100 + percent) * differ <= (100 - percent) * total
         pair = np.minimum(bits[some][:, None], bits[some][None, :]) == b
         out[np.ix_(some, some)] |= fits & pair
-    return out & near
+    return out & near & other_kinds(rows)
 
 
 def are_similar(rows: pa.Table, size: int, percent: int) -> np.ndarray:
-    """Which documents of a unit have similar sets, exactly."""
-    keys, offsets = [], [0]
-    for batch in rows.select(["text"]).combine_chunks().to_batches():
-        for part in slices(batch, "text"):
-            value, cuts = hashed_sets(part, size)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                keys.append(np.unique(value[a:b] >> np.uint64(4)))
-                offsets.append(offsets[-1] + len(keys[-1]))
-    n = np.diff(offsets)
-    if len(keys) == 2:
-        common = len(np.intersect1d(keys[0], keys[1], assume_unique=True))
-        overlap = np.array([[n[0], common], [common, n[1]]])
-    else:
-        _, at, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(keys)), n)
-        shared = counts > 1
-        place = np.cumsum(shared) - 1
-        some = shared[at]
-        column, owner = place[at[some]], owner[some]
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        overlap = np.zeros((len(keys), len(keys)), np.float32)
-        width = 2048
-        for low in range(0, int(shared.sum()), width):
-            a, b = np.searchsorted(column, [low, low + width])
-            has = np.zeros((len(keys), width), np.float32)
-            has[owner[a:b], column[a:b] - low] = 1
-            overlap += has @ has.T
-    overlap = overlap.astype(np.int64)
-    return 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
+    """Which sets of different classes in a unit are similar, exactly.
+
+    A class is told by its first member and by what the others lack of it and have besides. A
+    set is counted against the first members; its overlap with another member is that answer
+    less what this one lacks, and more by what it has besides. Members whose additions
+    cannot make up for the first one's answer are skipped.
+    """
+    keys = [own for batch in rows.select(["text"]).combine_chunks().to_batches() for part in slices(batch, "text") for own in set_keys(part, size)]
+    n = np.array([len(k) for k in keys])
+    _, kind, members = np.unique(rows.column("kind").to_numpy(), return_inverse=True, return_counts=True)
+    shingles_, at = np.unique(np.concatenate(keys), return_inverse=True)
+    own = np.split(at, np.cumsum(n)[:-1])
+    first = np.full(len(members), -1)
+    first[kind[::-1]] = np.arange(len(kind))[::-1]
+    changed, sign, more = [], [], np.zeros(len(keys), np.int64)
+    for z, c in enumerate(kind.tolist()):
+        lacks, has = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((own[first[c]], own[z]), (own[z], own[first[c]])))
+        changed += [lacks, has]
+        sign.append(np.concatenate([np.full(len(lacks), -1), np.ones(len(has), np.int64)]))
+        more[z] = len(has)
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in sign])])
+    changed, sign = np.concatenate(changed), np.concatenate(sign)
+    answers = np.concatenate([own[z] for z in first])
+    answer_begins = np.concatenate([[0], np.cumsum(n[first])])
+    out = np.zeros((len(keys), len(keys)), bool)
+    there = np.zeros(len(shingles_), bool)
+    for y in np.flatnonzero(kind != members.argmax()).tolist():
+        there[own[y]] = True
+        with_first = np.diff(np.concatenate([[0], np.cumsum(there[answers])])[answer_begins])[kind]
+        most = np.minimum(with_first + more, np.minimum(n, n[y]))
+        some = np.flatnonzero(((100 + percent) * most >= percent * (n + n[y])) & (kind != kind[y]))
+        if len(some):
+            lengths = begins[some + 1] - begins[some]
+            ends = np.cumsum(lengths)
+            places = np.arange(ends[-1]) + np.repeat(begins[some] - ends + lengths, lengths)
+            sums = np.concatenate([[0], np.cumsum(np.where(there[changed[places]], sign[places], 0))])
+            overlap = with_first[some] + sums[ends] - sums[ends - lengths]
+            similar = some[(100 + percent) * overlap >= percent * (n[some] + n[y])]
+            out[y, similar] = out[similar, y] = True
+        there[own[y]] = False
+    return out
 
 
 def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -249,28 +350,38 @@ def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *document_key(), "text")
-    classes = frequency_classes(shingle_counters(rows, size))
-    own = written(document_sets(rows, classes, size, percent), "document-sets")
+    own = written(document_sets(rows, frequency_classes(shingle_counters(rows, size)), size, percent), "document-sets")
     first = own.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(*KEY)).alias("first"), F.min("doc_id").alias("least"))
     first = written(first.select("set_id", "first.*", "least"), "sets")
     told = own.where("map is not null").select("set_id", "n", "map", "prefix")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = written(pointers(told, buckets), "lists")
+    found = pointers(told, buckets, percent)
+    texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
+
+    def with_texts(units: DataFrame) -> DataFrame:
+        return texts.join(units.join(first.select("set_id", *KEY), "set_id"), KEY).drop(*KEY)
+
+    classes = components(linked_with_representatives(with_texts(written(met(found), "met")), size, percent))
+    classes = written(classes.select(F.col("node").alias("set_id"), F.col("component").alias("kind")), "classes")
+    kinds = found.select("leader", "set_id").unionByName(found.select("leader", F.col("leader").alias("set_id")).distinct())
+    kinds = written(kinds.join(classes, "set_id", "left").withColumn("kind", F.coalesce("kind", "set_id")), "lists")
+    units = written(crossed(kinds, "leader", "set_id", "kind", MAP_BLOCK).select("unit", "set_id", "kind"), "units")
     # Tasks may have told of one set several times; a copy of its bitmap is as good as another.
-    pointed = written(lists.select("set_id").distinct(), "pointed")
-    maps = told.select("set_id", "n", "map").join(pointed, "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("map").alias("map"))
-    maps = written(maps, "bitmaps")
-    units = written(blocked(lists, "leader", "set_id", MAP_BLOCK), "units").join(maps, "set_id").select("unit", "set_id", "n", "map")
-    near = linked(units, lambda t: may_be_similar(t, percent), "set_id")
+    maps = told.select("set_id", "n", "map").join(units.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    near = linked(units.join(written(maps, "bitmaps"), "set_id"), lambda t: may_be_similar(t, percent), "set_id")
     clusters = components(near).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-    clusters = written(clusters.join(first, "set_id").select("cluster", "set_id", *KEY), "clusters")
-    dealt = written(blocked(clusters, "cluster", "set_id", TEXT_BLOCK), "units")
-    texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
-    whole = texts.join(dealt, KEY).select("unit", "set_id", "text")
-    links = linked(whole, lambda t: are_similar(t, size, percent), "set_id")
-    found = components(links)
-    names = found.join(first.select(F.col("set_id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(found.join(written(names, "names"), "component").select(F.col("node").alias("set_id"), "component", "component_id"), "named")
+    clusters = written(clusters.join(units.select("set_id", "kind").distinct(), "set_id"), "clusters")
+    dealt = written(crossed(clusters, "cluster", "set_id", "kind", TEXT_BLOCK).select("unit", "set_id", "kind"), "units")
+    links = written(linked(with_texts(dealt), lambda t: are_similar(t, size, percent), "set_id"), "class-links")
+    kind_of = dealt.select("set_id", "kind").distinct()
+    for end in ("a", "b"):
+        links = links.join(kind_of.select(F.col("set_id").alias(end), F.col("kind").alias(f"{end}_kind")), end)
+    joined = written(components(links, "a_kind", "b_kind"), "joined-classes").withColumnRenamed("node", "kind")
+    alone = joined.join(classes.select(F.col("set_id").alias("kind")), "kind", "left_anti").select(F.col("kind").alias("set_id"), "component")
+    groups = classes.join(joined, "kind", "left").select("set_id", F.coalesce("component", "kind").alias("component")).unionByName(alone)
+    groups = written(groups.join(first.select("set_id", "least"), "set_id"), "groups")
+    names = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(groups.select("set_id", "component").join(written(names, "names"), "component"), "named")
     least = first.select("set_id", "least").join(named, "set_id", "left")
     least = written(least.select("set_id", F.coalesce("component", "set_id").alias("group_id"), F.coalesce("component_id", "least").alias("component_id")), "components")
     out = own.select("doc_id", *KEY, F.col("n").alias("n_shingles"), "set_id").join(least, "set_id", "left")
