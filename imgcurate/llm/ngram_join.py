@@ -356,12 +356,13 @@ def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     told = own.where("map is not null").select("set_id", "n", "map", "prefix")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = pointers(told, buckets, percent)
-    texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
 
     def with_texts(units: DataFrame) -> DataFrame:
-        return texts.join(units.join(first.select("set_id", *KEY), "set_id"), KEY).drop(*KEY)
+        units = written(units.join(first.select("set_id", *KEY), "set_id"), "dealt")
+        needed = rows.join(units.select(*KEY).distinct(), KEY, "left_semi")
+        return needed.groupBy(*KEY).agg(F.first("text").alias("text")).join(units, KEY).drop(*KEY)
 
-    classes = components(linked_with_representatives(with_texts(written(met(found), "met")), size, percent))
+    classes = components(linked_with_representatives(with_texts(met(found)), size, percent))
     classes = written(classes.select(F.col("node").alias("set_id"), F.col("component").alias("kind")), "classes")
     kinds = found.select("leader", "set_id").unionByName(found.select("leader", F.col("leader").alias("set_id")).distinct())
     kinds = written(kinds.join(classes, "set_id", "left").withColumn("kind", F.coalesce("kind", "set_id")), "lists")
