@@ -43,7 +43,7 @@ COUNTERS_LOG2 = 20
 #: Blocks of sets that are compared at once, as bitmaps and as whole texts; sets that one representative meets at once.
 MAP_BLOCK = 1024
 TEXT_BLOCK = 256
-MET_BLOCK = 512
+MET_BLOCK = 64
 BITS_MOST = 1 << 16
 
 

@@ -72,6 +72,7 @@ def got(spark, rows):
 def test_equals_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "MAP_BLOCK", block)
     monkeypatch.setattr(ngram_join, "TEXT_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MET_BLOCK", block)
     rows = copies(random.Random(block), 400)
     assert got(spark, rows) == brute(rows)
 
