@@ -14,8 +14,9 @@ from imgcurate.streaming import streams as st
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of them, which a pattern takes alike."""
     schema = t.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 def _instant() -> Column:
@@ -77,7 +78,7 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), word)
     path = scratch_path(spark, "kept")
     _drain(st.dedup_stream(rows, path, 6, bits=32), path)
-    return spark.read.schema("image_id long, words array<long>, batch long").parquet(path).select("image_id")
+    return st.kept_hashes(spark, path).select("image_id")
 
 
 @query(

@@ -203,3 +203,8 @@ def dedup_stream(
         fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return frames.writeStream.foreachBatch(merge)
+
+
+def kept_hashes(spark: SparkSession, table: str) -> DataFrame:
+    """D3: the rows that ``dedup_stream`` has kept; none before its first batch."""
+    return _stored(spark, table, KEPT)

@@ -119,3 +119,20 @@ def test_copies_however_late(spark, tmp_path):
     stream = batches(spark, tmp_path, rows, "image_id long, words array<long>", 4)
     drain(st.dedup_stream(stream, table, threshold=0, bits=64), tmp_path)
     assert {r.image_id for r in spark.read.parquet(table).collect()} == set(range(7))
+
+
+def test_tables_that_are_folders(spark, tmp_path):
+    """A table may be one file or a folder of them, some of them without rows."""
+    from imgcurate.plans import stream_queries as sq
+
+    small = "/root/testdata/sf0.001"
+    for name in ("embeddings", "conversations", "events"):
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in (sq.d3, sq.m5, sq.r2, sq.d4):
+        rows = lambda folder: sorted(tuple(r) for r in query(spark, folder).collect())  # noqa: B023, E731
+        want = rows(small)
+        assert want and rows(str(tmp_path)) == want
+    empty = str(tmp_path / "empty")
+    for name in ("embeddings", "conversations"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert sq.d3(spark, empty).count() == 0 and sq.m5(spark, empty).count() == 0
