@@ -18,7 +18,7 @@ from imgcurate.operators.sinks import export_files, output_stem, write_dataset
 from imgcurate.plans import tables as t
 from imgcurate.plans.frame_queries import DENSE, RANGES
 from imgcurate.plans.registry import query
-from imgcurate.session import cut_lineage, written
+from imgcurate.session import written
 from imgcurate.sources.catalog import read_catalog, scan_images, with_ids
 
 
@@ -78,7 +78,7 @@ def curate_pictures(
     """
     hashed = with_phash(pixels.withColumn("pixels", F.col("data")), hash_size)
     measured = with_pixel_stats(hashed.withColumnRenamed("pixels", "data"))
-    narrow = cut_lineage(quality_split(measured, min_score, min_size).select("image_id", "filename", "words", "passed", "score"))
+    narrow = written(quality_split(measured, min_score, min_size).select("image_id", "filename", "words", "passed", "score"), "narrow")
     kept, _ = dedup_split(dedup_first_wins(narrow.filter("passed"), threshold, bits=hash_size**2))
     captioned = join_captions(kept.select("image_id", "filename", "score"), captions)
     made = apply_pixels(resize(pixels.join(kept.select("image_id"), "image_id", "left_semi"), target_size, "pad"))
@@ -111,10 +111,10 @@ def curate_folder(
     ids = written(with_ids(read_catalog(spark, folder), "name").select("path", "image_id", F.col("name").alias("filename")), "ids")
     pictures = scan_images(spark, folder, min_size).drop("filename").join(ids, "path")
     if threshold is None:
-        narrow = cut_lineage(pictures.select("image_id", F.array(F.sha2("data", 256)).alias("words")))
+        narrow = written(pictures.select("image_id", F.array(F.sha2("data", 256)).alias("words")), "narrow")
         marked = dedup_exact(narrow)
     else:
-        narrow = cut_lineage(with_phash(pictures, hash_size).select("image_id", "words"))
+        narrow = written(with_phash(pictures, hash_size).select("image_id", "words"), "narrow")
         marked = dedup_first_wins(narrow, threshold, bits=hash_size**2)
     kept, _ = dedup_split(marked)
 

@@ -181,7 +181,7 @@ def dedup_against_kept(batch: DataFrame, kept: DataFrame, threshold: int, bits:
     """
     new = batch.select("image_id", "words", F.lit(False).alias("_old"))
     keys = with_band_keys(new.filter("words is not null").select("words"), bits, threshold, 1).select("key").distinct()
-    touched = with_band_keys(kept.filter("words is not null"), bits, threshold, 1).join(keys, "key", "left_semi")
+    touched = with_band_keys(kept.filter("words is not null"), bits, threshold, 1).join(keys.hint("merge"), "key", "left_semi")
     old = touched.dropDuplicates(["image_id"]).select("image_id", "words", F.lit(True).alias("_old"))
     marked = dedup_first_wins(old.unionByName(new), threshold, bits)
     return marked.filter("not is_duplicate and not _old").select("image_id", "words")
