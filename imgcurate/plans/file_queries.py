@@ -99,7 +99,7 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, seen, made = _new_folder(spark), scratch_path(spark, "seen"), _pictures(spark, sf_dir)
 
     def keep(batch: DataFrame, number: int) -> None:
-        named = batch.select(ct.file_name().alias("name"), F.lit(number).cast("bigint").alias("batch"))
+        named = ct.in_shares(batch).select(ct.file_name().alias("name"), F.lit(number).cast("bigint").alias("batch"))
         named.write.mode("overwrite").parquet(f"{seen}/files/{number:06d}")
 
     for some in ("image_id % 2 = 0", "image_id % 2 <> 0"):
@@ -120,7 +120,7 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk.export_files(with_png(_pictures(spark, sf_dir)), folder)
     stem = lambda name: F.regexp_replace(name, r"\.[a-z]+$", "")
     texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
-    captions = texts.select(stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("caption"))
+    captions = ct.in_shares(texts.select(stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("caption")))
     pictures = with_byte_sums(ct.read_pictures(spark, folder)).select(stem(ct.file_name()).alias("stem"), "bytes", "placed")
     return pictures.join(captions, "stem", "left").select("stem", "caption", "bytes", "placed")
 

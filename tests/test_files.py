@@ -249,3 +249,14 @@ def test_dedup_stream(spark, tmp_path):
 
     assert run(0) == [0, 2]
     assert run(1) == [0, 2, 5]
+
+
+def test_many_small_files_come_in_few_tasks(spark, tmp_path):
+    """Eight tasks a core, however many files there are."""
+    file = encode_png(picture(4, 4))
+    for i in range(2_600):
+        (tmp_path / f"{i}.png").write_bytes(file)
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    for read in (ct.read_pictures(spark, f"file:{tmp_path}"), ct.read_catalog(spark, f"file:{tmp_path}")):
+        assert read.rdd.getNumPartitions() <= tasks
+        assert read.select("path").distinct().count() == 2_600
