@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +76,18 @@ def export_files(df: DataFrame, folder: str) -> None:
         raise ValueError("name a shared folder by its URI")
     run = f"_attempts/{uuid.uuid4().hex}"
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _opened(folder)
         attempt = uuid.uuid4().hex
         system.create_dir(f"{base}/{run}/{attempt}", recursive=True)
         for rows in batches:
-            for stem, encoded, caption in zip(rows["stem"], rows["encoded"], rows["caption"]):
+            for stem, encoded, caption in zip(rows["stem"].to_pylist(), rows["encoded"], rows["caption"].to_pylist()):
                 with system.open_output_stream(f"{base}/{run}/{attempt}/{stem}.png") as out:
-                    out.write(encoded)
+                    out.write(encoded.as_buffer())
                 if caption:
                     with system.open_output_stream(f"{base}/{run}/{attempt}/{stem}.txt") as out:
                         out.write(caption.encode())
-        yield pd.DataFrame({"attempt": [attempt]})
+        yield pa.RecordBatch.from_pydict({"attempt": [attempt]})
 
     def publish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -100,7 +101,7 @@ def export_files(df: DataFrame, folder: str) -> None:
             yield rows
 
     # One row a task comes to the driver, and only of attempts that Spark has accepted.
-    done = df.select("stem", "encoded", "caption").mapInPandas(save, "attempt string").collect()
+    done = df.select("stem", "encoded", "caption").mapInArrow(save, "attempt string").collect()
     if done:
         spark.createDataFrame(done, "attempt string").repartition(len(done)).mapInPandas(publish, "attempt string").count()
     delete_path(spark, f"{folder}/_attempts")

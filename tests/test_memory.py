@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from imgcurate.operators import pixels as px
+from imgcurate.operators import sinks as sk
 
 COUNT, SIDE = 2000, 64
 
@@ -62,3 +63,16 @@ def test_edits_hold_what_they_hand_on(spark, monkeypatch):
 
     assert peak_mb(work) < 12
     assert rows == list(range(COUNT)) and max(most) < 6e6
+
+
+def test_files_are_written_one_at_a_time(spark, monkeypatch, tmp_path):
+    """24 MB of files, of which none but the one being written is unpacked."""
+    found, df = [], spark.createDataFrame([], "stem string, encoded binary, caption string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: found.append(fn) or self)
+    sk.export_files(df, f"file://{tmp_path}")
+    data = columns()["data"]
+    batch = pa.RecordBatch.from_pydict({"stem": [f"p{i}" for i in range(COUNT)], "encoded": data, "caption": pa.array(["a"] + [None] * (COUNT - 1))})
+    assert peak_mb(lambda: list(found[0](iter([batch])))) < 4
+    files = {f.name: f for f in tmp_path.rglob("*.*")}
+    assert len(files) == COUNT + 1 and files["p7.png"].read_bytes() == data[7].as_py()
+    assert files["p0.txt"].read_text() == "a"
