@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from imgcurate.operators.ranking import with_position
 from imgcurate.session import delete_path
+from imgcurate.sources.catalog import opened
 
 
 def output_stem(filename: Column, index: Column, prefix: str = "") -> Column:
@@ -52,13 +53,6 @@ def write_dataset(df: DataFrame, path: str, partition_by: Sequence[str] = (), on
     manifest(rows).write.json(f"{path}/manifest")
 
 
-def _opened(folder: str):
-    """The file system of a URI or plain path, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-
-
 def export_files(df: DataFrame, folder: str) -> None:
     """K2: write ``<stem>.png`` and, with a caption, ``<stem>.txt``, task by task.
 
@@ -77,7 +71,7 @@ def export_files(df: DataFrame, folder: str) -> None:
     run = f"_attempts/{uuid.uuid4().hex}"
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _opened(folder)
+        system, base = opened(folder)
         attempt = uuid.uuid4().hex
         system.create_dir(f"{base}/{run}/{attempt}", recursive=True)
         for rows in batches:
@@ -92,7 +86,7 @@ def export_files(df: DataFrame, folder: str) -> None:
     def publish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, base = _opened(folder)
+        system, base = opened(folder)
         for rows in batches:
             for attempt in rows["attempt"]:
                 # An attempt of this task that broke off has moved some of them already.

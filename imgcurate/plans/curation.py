@@ -9,7 +9,7 @@ from imgcurate.operators.dedup import dedup_exact, dedup_first_wins, dedup_split
 from imgcurate.operators.geometry import resize
 from imgcurate.operators.metadata import join_captions
 from imgcurate.operators.model import Model, map_model, model_filter
-from imgcurate.operators.pixels import apply_pixels, encode_for_model, with_phash, with_pixel_stats, with_png
+from imgcurate.operators.pixels import apply_pixels, with_model_file, with_phash, with_pixel_stats, with_png
 from imgcurate.operators.quality import quality_split
 from imgcurate.operators.ranges import cluster_ranges, combine, dense_resample, select_high
 from imgcurate.operators.sampling import ORDER
@@ -19,7 +19,7 @@ from imgcurate.plans import tables as t
 from imgcurate.plans.frame_queries import DENSE, RANGES
 from imgcurate.plans.registry import query
 from imgcurate.session import written
-from imgcurate.sources.catalog import read_catalog, scan_images, with_ids
+from imgcurate.sources.catalog import IMAGE_EXTENSIONS, decode_in_parts, extension, list_files, with_ids
 
 
 def curate_frames(frames: DataFrame, high: float = 4.0, dense_fps: float = 0.5) -> DataFrame:
@@ -105,21 +105,26 @@ def curate_folder(
     data set goes to ``out``, and pictures and captions as files to ``out/files``. Gives what was kept:
     ``(image_id, filename, stem, quality, reason, caption)``.
 
-    Models run once: their answers are written before they are used. Bytes are read from the files
-    again by each step, so that narrow rows are all that is joined or sorted.
+    Models run once: their answers are written before they are used. The files are listed by a task and
+    decoded in parts, so that the driver never holds a list of all. Each is decoded once for its hash and
+    the file the models get, which are written; those that are kept are decoded again to be exported.
     """
-    ids = written(with_ids(read_catalog(spark, folder), "name").select("path", "image_id", F.col("name").alias("filename")), "ids")
-    pictures = scan_images(spark, folder, min_size).drop("filename").join(ids, "path")
-    if threshold is None:
-        narrow = written(pictures.select("image_id", F.array(F.sha2("data", 256)).alias("words")), "narrow")
-        marked = dedup_exact(narrow)
-    else:
-        narrow = written(with_phash(pictures, hash_size).select("image_id", "words"), "narrow")
-        marked = dedup_first_wins(narrow, threshold, bits=hash_size**2)
-    kept, _ = dedup_split(marked)
+    ids = written(with_ids(list_files(spark, folder), "name").select("path", "image_id", F.col("name").alias("filename")), "ids")
+    images = ids.filter(extension(F.col("filename")).isin(*IMAGE_EXTENSIONS))
+
+    def scanned(pictures: DataFrame) -> DataFrame:
+        shown = with_model_file(pictures.filter(F.least("width", "height") >= min_size))
+        if threshold is None:
+            return shown.select("image_id", "filename", "encoded", F.array(F.sha2("data", 256)).alias("words"))
+        return with_phash(shown, hash_size).select("image_id", "filename", "encoded", "words")
+
+    pictures = decode_in_parts(spark, images, scanned)
+    narrow = pictures.select("image_id", "filename", "words")
+    kept, _ = dedup_split(dedup_exact(narrow) if threshold is None else dedup_first_wins(narrow, threshold, bits=hash_size**2))
+    kept = written(kept.select("image_id"), "kept")
 
     def asked(rows: DataFrame, model: Model, out: str) -> DataFrame:
-        shown = encode_for_model(pictures.join(rows.select("image_id"), "image_id", "left_semi")).join(ids.select("image_id", "filename"), "image_id")
+        shown = pictures.select("image_id", "filename", "encoded").join(rows.select("image_id"), "image_id", "left_semi")
         return written(map_model(shown, model, ["encoded", "filename"], calls, out).select("image_id", "filename", out), out)
 
     judged = model_filter(asked(kept, judge, "response"), min_quality).filter("keep")
@@ -128,7 +133,8 @@ def curate_folder(
     made = chosen.join(captions, "image_id").withColumn("stem", output_stem(F.col("filename"), F.col("image_id")))
     write_dataset(made.select("image_id", "filename", "stem", "quality", "reason", "caption"), out)
     made = spark.read.parquet(f"{out}/data")
-    export_files(with_png(pictures.drop("filename").join(made.select("image_id", "stem", "caption"), "image_id")), f"{out}/files")
+    files = written(images.select("path", "image_id").join(made.select("image_id", "stem", "caption"), "image_id"), "exported")
+    export_files(decode_in_parts(spark, files, lambda p: with_png(p).select("stem", "encoded", "caption")), f"{out}/files")
     return made
 
 

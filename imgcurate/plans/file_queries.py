@@ -154,5 +154,7 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk.export_files(with_png(_pictures(spark, sf_dir)), folder)
     curate_folder(spark, folder, out, judge, describe, min_size=16, threshold=None, calls=4)
     captions = spark.read.schema("stem string, caption string").json(f"{out}/manifest")
-    pictures = with_byte_sums(ct.read_pictures(spark, f"{out}/files")).select(F.regexp_replace(ct.file_name(), r"\.png$", "").alias("stem"), "bytes", "placed")
+    files = ct.with_ids(ct.list_files(spark, f"{out}/files"), "name").filter("ext = '.png'").select("path", "image_id")
+    made = ct.decode_in_parts(spark, files, lambda p: with_byte_sums(p).select("path", "bytes", "placed"))
+    pictures = made.select(F.regexp_replace(ct.file_name(), r"\.png$", "").alias("stem"), "bytes", "placed")
     return captions.join(pictures, "stem", "full").select("stem", "caption", "bytes", "placed")

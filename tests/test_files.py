@@ -260,3 +260,45 @@ def test_many_small_files_come_in_few_tasks(spark, tmp_path):
     for read in (ct.read_pictures(spark, f"file:{tmp_path}"), ct.read_catalog(spark, f"file:{tmp_path}")):
         assert read.rdd.getNumPartitions() <= tasks
         assert read.select("path").distinct().count() == 2_600
+
+
+def test_files_are_listed_by_a_task(spark, folder, tmp_path):
+    for name in ("a b.png", "p%20q.png", "c[1]{x}*?.png", "q+r.PNG", "_h.png", ".k.png", "_e=1.png", "x._COPYING_"):
+        (tmp_path / name).write_bytes(encode_png(picture(20, 20)))
+    (tmp_path / "below").mkdir()
+    for path in (f"file:{folder}", f"file://{folder}", f"file://{tmp_path}", f"{tmp_path}/"):
+        assert sorted(ct.list_files(spark, path).collect()) == sorted(ct.read_catalog(spark, path).collect())
+    assert ct.list_files(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_folder_is_never_listed_whole(spark, folder, tmp_path, monkeypatch):
+    """Spark is told of two files at a time, whatever their names, and of those that are kept once more."""
+    import pandas as pd
+
+    from imgcurate.operators.pixels import encode_for_model, with_model_file
+    from imgcurate.plans import curation as cu
+
+    source = tmp_path / "in"
+    source.mkdir()
+    names = ["a b.png", "c[1]{x}*?.png", "d.png", "e%20f.png", "q+r.PNG", "z.png"]
+    for i, name in enumerate(names):
+        (source / name).write_bytes(encode_png(picture(20 + 4 * (i % 5), 24, seed=i % 5)))
+    for i in range(5):
+        (source / f"t{i}.txt").write_text("text")
+    seen, plain = [], ct._decoded
+    monkeypatch.setattr(ct, "_decoded", lambda spark, files: seen.append(files) or plain(spark, files))
+    monkeypatch.setattr(ct, "read_catalog", lambda *a: 1 / 0)
+    parts = ct.decode_in_parts
+    monkeypatch.setattr(cu, "decode_in_parts", lambda *a: parts(*a, at_once=2))
+    answer = lambda text: lambda batch: pd.Series([text] * len(batch))
+    with run_scope(spark):
+        made = cu.curate_folder(spark, f"file://{source}", f"file://{tmp_path}/out", answer("hm"), answer("a picture"), min_size=16, threshold=None)
+        assert sorted(r.filename for r in made.collect()) == names[:5]
+    assert all(isinstance(files, list) and len(files) <= 2 for files in seen)
+    assert len({f for files in seen for f in files}) == 6 and sum(map(len, seen)) == 6 + 5
+    out = {p.name for p in (tmp_path / "out/files").iterdir()}
+    assert {f"{n[:-4]}.png" for n in names[:5]} <= out and len([n for n in out if not n.startswith(".")]) == 10
+    for size in (1024, 30):
+        pixels = ct.read_pictures(spark, f"file:{folder}").withColumn("image_id", F.xxhash64("path"))
+        want = {r.image_id: r.encoded for r in encode_for_model(pixels, size).collect()}
+        assert {r.image_id: r.encoded for r in with_model_file(pixels, size).collect()} == want
